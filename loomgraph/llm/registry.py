@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .mixing import mix_plan
 from .sharding import shard_by_bytes
+from .simhash import edited_fingerprints
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +20,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text against itself with its last half replaced by the beginning
+    of the next document's, and against that next document."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
+    "op7_simhash": op7_simhash,
 }
 ORACLES: dict[str, str] = {}
