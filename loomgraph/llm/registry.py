@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .jaccard import jaccard_join
 from .mixing import mix_plan
 from .sharding import shard_by_bytes
 from .simhash import edited_fingerprints
@@ -26,9 +27,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five words, 0.8."""
+    found = jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+    return found.select("doc_id", "class_id", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
     "op7_simhash": op7_simhash,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLES: dict[str, str] = {}
