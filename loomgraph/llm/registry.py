@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .bpe import token_digests
 from .jaccard import jaccard_join
 from .mixing import mix_plan
 from .sharding import shard_by_bytes
@@ -17,6 +19,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
@@ -35,6 +42,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
     "op7_simhash": op7_simhash,
     "op10_jaccard": op10_jaccard,
