@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .bpe import token_digests
 from .jaccard import jaccard_join
+from .langid import language_of
 from .mixing import mix_plan
 from .sharding import shard_by_bytes
 from .simhash import edited_fingerprints
@@ -28,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text against itself with its last half replaced by the beginning
     of the next document's, and against that next document."""
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
+    "op5_langid": op5_langid,
     "op7_simhash": op7_simhash,
     "op10_jaccard": op10_jaccard,
 }
