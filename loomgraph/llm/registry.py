@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .bpe import token_digests
+from .class_lm import class_scores
 from .jaccard import jaccard_join
-from .langid import language_of
+from .langid import held_out, language_of
 from .mixing import mix_plan
 from .sharding import shard_by_bytes
 from .simhash import edited_fingerprints
@@ -29,6 +30,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(table(spark, sf_dir, "documents"), train=~held_out(folds=7))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
+    "op4_class_lm": op4_class_lm,
     "op5_langid": op5_langid,
     "op7_simhash": op7_simhash,
     "op10_jaccard": op10_jaccard,
