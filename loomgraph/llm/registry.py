@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .bpe import token_digests
 from .class_lm import class_scores
+from .crosspoly import near_vectors
 from .jaccard import jaccard_join
 from .langid import held_out, language_of
 from .mixing import mix_plan
@@ -44,6 +45,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_crosspoly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five words, 0.8."""
     found = jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, words=5)
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_class_lm": op4_class_lm,
     "op5_langid": op5_langid,
     "op7_simhash": op7_simhash,
+    "op9_crosspoly": op9_crosspoly,
     "op10_jaccard": op10_jaccard,
 }
 ORACLES: dict[str, str] = {}
