@@ -13,6 +13,7 @@ from .class_lm import class_scores
 from .crosspoly import near_vectors
 from .jaccard import jaccard_join
 from .langid import held_out, language_of
+from .mincut import extract_pages
 from .mixing import mix_plan
 from .sharding import shard_by_bytes
 from .simhash import edited_fingerprints
@@ -45,6 +46,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_crosspoly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_class_lm": op4_class_lm,
     "op5_langid": op5_langid,
     "op7_simhash": op7_simhash,
+    "op8_mincut": op8_mincut,
     "op9_crosspoly": op9_crosspoly,
     "op10_jaccard": op10_jaccard,
 }
