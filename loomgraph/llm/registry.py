@@ -17,6 +17,7 @@ from .mincut import extract_pages
 from .mixing import mix_plan
 from .sharding import shard_by_bytes
 from .simhash import edited_fingerprints
+from .suffixes import repeat_digests
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"), length=200)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text against itself with its last half replaced by the beginning
     of the next document's, and against that next document."""
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_class_lm": op4_class_lm,
     "op5_langid": op5_langid,
+    "op6_suffixes": op6_suffixes,
     "op7_simhash": op7_simhash,
     "op8_mincut": op8_mincut,
     "op9_crosspoly": op9_crosspoly,
