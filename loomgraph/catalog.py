@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import tables
+
+QUERIES: dict = dict(tables.QUERIES)
+ORACLES: dict[str, str] = dict(tables.ORACLES)

@@ -60,7 +60,8 @@ def previous_delta(df: DataFrame, keys: list[str], order: str, value: str) -> Da
 def debounce(events: DataFrame, key: str, at: str, gap_s: float) -> DataFrame:
     """Bursts of events less than ``gap_s`` apart: burst, first, last, n."""
     w = Window.partitionBy(key).orderBy(at)
-    new = F.coalesce((F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))) >= int(gap_s * 1e6), F.lit(True))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    new = F.coalesce((micros - F.lag(micros).over(w)) >= int(gap_s * 1e6), F.lit(True))
     marked = events.withColumn("burst", F.sum(new.cast("int")).over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "burst").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n"))
 

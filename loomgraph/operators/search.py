@@ -18,6 +18,11 @@ def query_tokens(query: str) -> list[str]:
     return [t for t in re.split(r"[^a-z0-9_#]+", spaced) if len(t) >= 2]
 
 
+def _counts(tokens: F.Column, term: F.Column) -> tuple[F.Column, F.Column]:
+    """Tokens equal to a term, and tokens that hold it or that it holds."""
+    return F.size(F.filter(tokens, lambda t: t == term)), F.size(F.filter(tokens, lambda t: F.contains(t, term) | F.contains(term, t)))
+
+
 def search(rows: DataFrame, query: str, weights: dict[str, int]) -> DataFrame:
     """rows with score > 0 and the fields that matched.
 
@@ -34,9 +39,8 @@ def search(rows: DataFrame, query: str, weights: dict[str, int]) -> DataFrame:
         text = F.lower(F.coalesce(F.col(field).cast("string"), F.lit("")))
         tokens = search_tokens(text)
         points = F.when(F.contains(text, F.lit(phrase)), 4).otherwise(0) if len(phrase) >= 3 else F.lit(0)
-        for term in terms:
-            exact = F.size(F.filter(tokens, lambda t, term=term: t == term))
-            partial = F.size(F.filter(tokens, lambda t, term=term: F.contains(t, F.lit(term)) | F.contains(F.lit(term), t)))
+        for term in map(F.lit, terms):
+            exact, partial = _counts(tokens, term)
             points = points + F.when(exact > 0, exact * 2).otherwise(partial)
         scores.append(F.struct(F.lit(field).alias("field"), (points * weight).alias("points")))
     scored = rows.withColumn("_fields", F.array(*scores))
