@@ -11,13 +11,29 @@ from .graph import blast_radius
 
 SEVERITY_SCORE = {"high": 0.9, "medium": 0.6, "low": 0.3, "info": 0.1}
 TEST_WEIGHT = 0.15
-#: fixed values: packages that newer platform features replace
+#: fixed values: superseded packages, what replaces them, and why they count
 LEGACY_PACKAGES = (
-    ("request", "fetch"), ("moment", "Intl / Temporal"), ("node-fetch", "fetch"), ("bluebird", "Promise"), ("underscore", "Array methods"), ("lodash", "Array methods"),
-    ("mkdirp", "fs.mkdir recursive"), ("rimraf", "fs.rm recursive"), ("uuid", "crypto.randomUUID"), ("left-pad", "padStart"), ("async", "async / await"), ("body-parser", "express.json"),
+    ("request", "undici / native fetch", "deprecated"),
+    ("moment", "dayjs / date-fns / Temporal", "maintenance-mode"),
+    ("node-sass", "sass (dart-sass)", "deprecated"),
+    ("babel-eslint", "@babel/eslint-parser", "superseded"),
+    ("tslint", "eslint + typescript-eslint", "deprecated"),
+    ("left-pad", "String.prototype.padStart", "native-replacement"),
+    ("mkdirp", "fs.mkdir({recursive:true})", "native-replacement"),
+    ("rimraf", "fs.rm({recursive:true,force:true})", "native-replacement"),
+    ("body-parser", "express.json()/express.urlencoded()", "bundled"),
+    ("bluebird", "native Promise", "native-replacement"),
+    ("underscore", "native array/object methods or lodash-es", "superseded"),
+    ("q", "native Promise", "native-replacement"),
 )
 
 
+def legacy_dependencies(dependencies: DataFrame) -> DataFrame:
+    """Dependencies that the table names: (package, replacement, kind)."""
+    known = dependencies.sparkSession.createDataFrame(list(LEGACY_PACKAGES), "package string, replacement string, kind string")
+    return dependencies.join(F.broadcast(known), "package").select("package", "replacement", "kind")
+
+
 def priority_of(severity, priority) -> F.Column:
     """A finding's own priority, else its severity's."""
     by = F.lit(0.0)
