@@ -107,3 +107,8 @@ def static_prefix(glob: str) -> str:
             break
         steps.append(s)
     return "/".join(steps)
+
+
+def name_key_source(path: Column) -> Column:
+    """A source's name without folder, extension, case, dashes, underscores."""
+    return F.regexp_replace(F.lower(basename(strip_extension(path))), "[-_]", "")

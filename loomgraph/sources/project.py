@@ -116,7 +116,7 @@ def script_references(rows: DataFrame) -> DataFrame:
     tag = "(?i)<script\\b[^>]*?\\bsrc\\s*=\\s*[\"']([^\"']+)[\"'][^>]*>"
     pages = rows.where(F.lower("file").rlike("\\.html?$"))
     hits = pages.select(F.col("file").alias("html"), "text", F.explode(F.regexp_extract_all("text", F.lit(tag), F.lit(0))).alias("hit")).withColumn("src", F.regexp_replace(F.regexp_extract("hit", tag, 1), "[?#].*$", ""))
-    line = F.size(F.split(F.substring_index("text", F.col("hit"), 1), "\n"))
+    line = F.size(F.split(F.expr("substring_index(text, hit, 1)"), "\n"))
     return hits.where("src <> ''").where(~F.col("src").rlike("(?i)^(/|[a-z][a-z0-9+.-]*:)")).select("html", "src", line.alias("line"))
 
 
