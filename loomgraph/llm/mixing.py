@@ -135,7 +135,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.
         some = rows["size"].to_numpy() > 0
         pick = np.zeros(len(rows), np.int64)
         if whole < most:
-            pick[some] = fit_budget(rows["size"].to_numpy()[some], rows.n.to_numpy()[some], round(goal) - whole * size)
+            lengths, n, budget = rows["size"].to_numpy()[some], rows.n.to_numpy()[some], round(goal) - whole * size
+            chosen = fit_budget(lengths, n, budget)
+            rest = budget - int((lengths * chosen).sum())
+            over = np.flatnonzero((chosen < n) & (lengths < 2 * rest))
+            if len(over):  # one more overshoots by less than leaving it falls short
+                chosen[over[lengths[over].argmin()]] += 1
+            pick[some] = chosen
         return rows[["mix_source", "mix_null", "size", "source_size", "target"]].assign(whole=whole, quota=pick)
 
     quota = cut(
