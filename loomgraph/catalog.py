@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import tables
+from .plans import sample, tables
 
-QUERIES: dict = dict(tables.QUERIES)
+QUERIES: dict = tables.QUERIES | sample.QUERIES
 ORACLES: dict[str, str] = dict(tables.ORACLES)
