@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions import text as T
-from ..operators import diff, findings, graph, ordering, score, search
+from ..operators import detectors, diff, findings, graph, ordering, resolve, score, search
 from ..operators.components import connected_components
 from ..session import table
 
@@ -702,3 +703,81 @@ def t2(t):
 @query("t3_windows", "select event_type, date_trunc('day', ts) as day, count(*) as n from events group by 1, 2")
 def t3(t):
     return t("events").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("day"), "n")
+
+
+# ---- predicates, resolution and reports ----------------------------------
+
+@query("p1_glob", "select page_id from pages where regexp_matches(regexp_replace(url, '^https?://', ''), '^[^/]*/en/[^/]*$')")
+def p1(t):
+    return t("pages").where(F.regexp_replace("url", "^https?://", "").rlike(P.glob_regex("*/en/*"))).select("page_id")
+
+
+@query("p3_test_paths", "select page_id, regexp_matches(url, '(\\.test\\.|\\.spec\\.|__tests__/|(^|/)tests?/)') as anchored, regexp_matches(url, '(\\.test\\.|\\.spec\\.|__tests__/|tests?/)') as anywhere from pages")
+def p3(t):
+    return t("pages").select("page_id", P.is_test_file(F.col("url")).alias("anchored"), P.has_test_path(F.col("url")).alias("anywhere"))
+
+
+@query("p5_header", "select doc_id from documents where regexp_matches(substr(text, 1, 300), '(?i)licensed under|all rights reserved')")
+def p5(t):
+    return t("documents").where(F.substring("text", 1, 300).rlike("(?i)licensed under|all rights reserved")).select("doc_id")
+
+
+@query("p13_intents", """select conv_id, turn, case when regexp_matches(trim(text), '(?i)(show|list) (unresolved )?findings\\b') then 'findings' when regexp_matches(trim(text), '(?i)^(?:find|look for|where is) (.+)') then 'find' else 'unknown' end as asked
+from conversations""")
+def p13(t):
+    return t("conversations").select("conv_id", "turn", detectors.intent(F.col("text")).alias("asked"))
+
+
+@query("r1_first_existing", """with c as (select l_orderkey, l_linenumber, l_partkey, unnest([l_partkey + 100000, l_partkey * 2, l_partkey]) cand, unnest([0, 1, 2]) pos from lineitem)
+select l_orderkey, l_linenumber, l_partkey, cast(arg_min(cand, pos) as varchar) as target from c where cand in (select p_partkey from part) group by 1, 2, 3""")
+def r1(t):
+    refs = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.transform(F.array(F.col("l_partkey") + 100000, F.col("l_partkey") * 2, F.col("l_partkey")), lambda x: x.cast("string")).alias("candidates"))
+    return resolve.first_existing(refs, t("part").select(F.col("p_partkey").cast("string").alias("file")), ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("r15_unique_names", "select p_name||p_brand||p_size as name, min(p_partkey) as id from part group by 1 having count(distinct p_partkey) = 1")
+def r15(t):
+    return t("part").groupBy(F.concat("p_name", "p_brand", F.col("p_size").cast("string")).alias("name")).agg(F.countDistinct("p_partkey").alias("n"), F.min("p_partkey").alias("id")).where("n = 1").select("name", "id")
+
+
+@query("e12_roots", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity = 50)")
+def e12(t):
+    return t("part").join(t("lineitem").where("l_quantity = 50"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+
+
+@query("m2_architecture", f"""with {SIGNALS_SQL}, n as (select c_nationkey workflow, count(*) n_files from customer group by 1), t as (select count(*) c from customer)
+select 'fragile' as rule, cast(workflow as varchar) as subject, 1.0 as certainty from sc where score < 0.4
+union all select 'monolith', cast(workflow as varchar), 1.0 from n, t where c >= 12 and n_files > 0.7 * c
+union all select 'orphan-cluster', count(*)||' files', 0.9 from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000) having count(*) >= 3""")
+def m2(t):
+    customers = t("customer")
+    sizes = customers.groupBy(F.col("c_nationkey").alias("workflow")).agg(F.count("*").alias("n_files"))
+    scored = score.workflow_scores(nation_signals(t)).join(sizes, "workflow").select(F.col("workflow").cast("string").alias("workflow"), "n_files", "score")
+    orphans = customers.join(t("orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("file"))
+    cycles = customers.sparkSession.createDataFrame([], "cycle string, members array<string>")
+    return findings.architecture_rules(scored, orphans, customers.count(), 0.8, cycles)
+
+
+@query("k3_handoff", """select o_orderkey as id, o_totalprice as priority from orders where o_orderstatus = 'O' and o_orderdate >= timestamp '1998-01-01' order by o_totalprice desc, o_orderkey limit 5""")
+def k3(t):
+    status = F.when(F.col("o_orderstatus") == "O", "awaiting-approval").otherwise("resolved")
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("priority"), status.alias("status"), (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).alias("stale"))
+    return findings.handoff(rows).select("id", "priority")
+
+
+@query("q2_context", """with h as (select p_partkey from part where contains(lower(p_name), 'small') order by p_partkey limit 8)
+select l_suppkey as workflow, list_sort(list(distinct l_partkey)) as files from lineitem where l_partkey in (from h) group by 1""")
+def q2(t):
+    hits = t("part").where(F.contains(F.lower("p_name"), F.lit("small"))).select(F.col("p_partkey").alias("file"), F.lit("x").alias("function"), F.lit(1).alias("score"))
+    return search.task_context(hits, t("lineitem").select(F.col("l_suppkey").alias("workflow"), F.col("l_partkey").alias("file")))
+
+
+@query("f_budget_minutes", "select p_partkey, case when p_size % 2 = 0 then p_size * 60.0 else p_size * 1.0 end as minutes from part")
+def f_budget(t):
+    text = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "h").otherwise("m"))
+    return t("part").select("p_partkey", T.budget_minutes(text).alias("minutes"))
+
+
+@query("f_paths", "select page_id, regexp_replace(url, '/[^/]*$', '') as folder, list_last(string_split(url, '/')) as name from pages")
+def f_paths(t):
+    return t("pages").select("page_id", P.dirname(F.col("url")).alias("folder"), P.basename(F.col("url")).alias("name"))
