@@ -26,13 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut
+from .grouped import SMALL, block_pairs, fixed, map_groups, small_pairs, spanning
 from .text import U, chunks, mix, shingles, strings, word_hashes
 
 TREES, DEPTH, RECALL, BLOCK = 16, 6, 0.999, 512
@@ -83,39 +83,6 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, set binary, sig binary")
 
 
-def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (member, root) that span the components of n nodes."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    return [(k, find(k)) for k in range(n) if find(k) != k]
-
-
-def block_pairs(members: DataFrame, key: list[str], count: str, order: str, block: int) -> DataFrame:
-    """Deal members of groups out to pairs of blocks of about ``block`` rows.
-
-    Adds cell_a <= cell_b and mine, the row's own block; a group within
-    ``block`` is one cell.
-    """
-    blocks = F.ceil(F.col(count) / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64(order), F.col("blocks")).cast("int")
-    return (
-        members.withColumn("blocks", blocks).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"cell_a": F.least("mine", "other"), "cell_b": F.greatest("mine", "other")})
-        .drop("blocks", "other")
-    )
-
-
 def _near_edges(reps: DataFrame, threshold: float) -> DataFrame:
     """(src, dst): edges that span the likely links of every trie node."""
     depth, loose = depth_for(threshold), threshold - 0.25
@@ -129,54 +96,64 @@ def _near_edges(reps: DataFrame, threshold: float) -> DataFrame:
     #: nodes with the same members are compared once
     once = shape.groupBy("n", "low", "sum").agg(F.min(F.struct("tree", "prefix")).alias("node")).select("node.*", "n")
     members = nodes.join(once, ["tree", "prefix"])
-    dealt = block_pairs(members, ["tree", "prefix"], "n", "rep", BLOCK).join(reps.select("rep", "sig"), "rep")
-
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep")
-        sig = np.frombuffer(b"".join(frame.sig), np.uint32).reshape(len(frame), -1)
-        rep = frame.rep.to_numpy()
-        pairs = [np.zeros((0, 2), np.int64)]
-        for k in range(0, len(sig), 64):
-            agree = np.zeros((len(sig[k : k + 64]), len(sig)), np.uint16)
-            for j in range(sig.shape[1]):
-                agree += sig[k : k + 64, j, None] == sig[None, :, j]
-            x, y = np.nonzero(agree >= loose * sig.shape[1])
-            pairs.append(np.stack([x + k, y], axis=1)[x + k < y])
-        x, y = np.concatenate(pairs).T
-        span = _spanning(len(rep), x, y)
-        return pd.DataFrame({"src": rep[[e[0] for e in span]], "dst": rep[[e[1] for e in span]]}, dtype="int64") if span else pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64")})
-
-    keys = ["tree", "prefix", "cell_a", "cell_b"]
-    return dealt.select(*keys, "rep", "sig").groupBy(*keys).applyInPandas(link, "src long, dst long")
-
-
-def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs x < y with Jaccard >= threshold, x or y in ``left`` and the
-    other in ``right`` (masks); both masks full: all pairs."""
+    dealt = block_pairs(members, "n", "rep", BLOCK).join(reps.select("rep", "sig"), "rep")
+
+    def link(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = t.num_rows
+        sig, rep = fixed(t["sig"], np.uint32, n), t["rep"].to_numpy()
+        least = loose * sig.shape[1]
+        a, b = small_pairs(bounds)
+        left, right = [], []
+        for lo in range(0, len(a), 20_000):
+            p, q = a[lo : lo + 20_000], b[lo : lo + 20_000]
+            near = (sig[p] == sig[q]).sum(axis=1) >= least
+            left.append(p[near])
+            right.append(q[near])
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            for k in range(lo, hi, 64) if hi - lo > SMALL else ():
+                part = sig[k : min(k + 64, hi)]
+                agree = np.zeros((len(part), hi - lo), np.uint16)
+                for j in range(sig.shape[1]):
+                    agree += part[:, j, None] == sig[None, lo:hi, j]
+                p, q = np.nonzero(agree >= least)
+                up = p + k < q + lo
+                left.append(p[up] + k)
+                right.append(q[up] + lo)
+        root = spanning(n, np.concatenate(left or [a]), np.concatenate(right or [b]))
+        some = root != np.arange(n)
+        yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[root[some]])], names=["src", "dst"])
+
+    return map_groups(dealt, ["tree", "prefix", "cell_a", "cell_b"], "rep", ["sig"], link, "src long, dst long")
+
+
+def exact_links(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs x < y with Jaccard >= threshold."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    terms, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    count = np.bincount(inverse, minlength=len(terms))
-    owner = np.repeat(np.arange(n), sizes)
-    #: shingles of one document alone add nothing to an intersection
-    keep = count[inverse] > 1
-    new = np.cumsum(count > 1) - 1
-    cols, owner = new[inverse[keep]], owner[keep]
-    common = np.zeros((n, n), np.float32)
-    order = np.argsort(cols, kind="stable")
-    cols, owner = cols[order], owner[order]
-    width = 4096
-    for lo in range(0, int(cols[-1]) + 1 if len(cols) else 0, width):
-        a, z = np.searchsorted(cols, [lo, lo + width])
-        dense = np.zeros((n, width), np.float32)
-        dense[owner[a:z], cols[a:z] - lo] = 1
-        common += dense @ dense.T
-    x, y = np.nonzero(np.triu(common, 1))
-    both = common[x, y].astype(np.int64)
+    if n <= 6:
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+        x, y = np.array(pairs, np.int64).reshape(-1, 2).T
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs], np.int64)
+    else:
+        terms, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        count = np.bincount(inverse, minlength=len(terms))
+        owner = np.repeat(np.arange(n), sizes)
+        everywhere = int((count == n).sum())
+        #: shingles of one document add nothing to an intersection, those of all add one
+        keep = (count[inverse] > 1) & (count[inverse] < n)
+        cols, owner = (np.cumsum((count > 1) & (count < n)) - 1)[inverse[keep]], owner[keep]
+        order = np.argsort(cols, kind="stable")
+        cols, owner = cols[order], owner[order]
+        common, width = np.full((n, n), everywhere, np.float32), 2048
+        for lo in range(0, int(cols[-1]) + 1 if len(cols) else 0, width):
+            a, z = np.searchsorted(cols, [lo, lo + width])
+            dense = np.zeros((n, width), np.float32)
+            dense[owner[a:z], cols[a:z] - lo] = 1
+            common += dense @ dense.T
+        x, y = np.nonzero(np.triu(common, 1))
+        both = common[x, y].astype(np.int64)
     near = both >= threshold * (sizes[x] + sizes[y] - both) - 1e-9
-    x, y = x[near], y[near]
-    fits = (left[x] & right[y]) | (left[y] & right[x])
-    return x[fits], y[fits]
+    return x[near], y[near]
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
@@ -201,23 +178,27 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Dat
         docs.select(F.coalesce("doc_id", F.lit(-1)).alias("one_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("one_hash"), "text")
         .join(chosen, ["one_id", "one_hash"]).dropDuplicates(["rep"])
     )
-    dealt = block_pairs(texts.select("component", "n", "rep", "copies", "text"), ["component"], "n", "rep", BLOCK)
-
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep")
-        rep, copies, mine = frame.rep.to_numpy(), frame.copies.to_numpy(), frame.mine.to_numpy()
-        sets = list(shingle_sets(pa.array(frame.text, pa.large_string()), words))
-        left, right = mine == frame.cell_a.iloc[0], mine == frame.cell_b.iloc[0]
-        x, y = exact_links(sets, left, right, threshold)
-        links = np.bincount(x, copies[y], len(rep)) + np.bincount(y, copies[x], len(rep))
-        root = np.arange(len(rep))
-        for k, r in _spanning(len(rep), x, y):
-            root[k] = r
-        return pd.DataFrame({"rep": rep, "links": links.astype(np.int64), "root": rep[root]})
-
-    keys = ["component", "cell_a", "cell_b"]
+    dealt = block_pairs(texts.select("component", "n", "rep", "copies", "text"), "n", "rep", BLOCK)
+
+    def verify(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = t.num_rows
+        rep, copies, mine, cell_a, cell_b = (t[c].to_numpy() for c in ("rep", "copies", "mine", "cell_a", "cell_b"))
+        links, left, right = np.zeros(n, np.int64), [], []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            sets = list(shingle_sets(t["text"].slice(lo, hi - lo), words))
+            p, q = exact_links(sets, threshold)
+            p, q = p + lo, q + lo
+            fits = ((mine[p] == cell_a[p]) & (mine[q] == cell_b[p])) | ((mine[q] == cell_a[p]) & (mine[p] == cell_b[p]))
+            p, q = p[fits], q[fits]
+            np.add.at(links, p, copies[q])
+            np.add.at(links, q, copies[p])
+            left.append(p)
+            right.append(q)
+        root = spanning(n, np.concatenate(left), np.concatenate(right))
+        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links), pa.array(rep[root])], names=["rep", "links", "root"])
+
     verified = cut(
-        dealt.select(*keys, "mine", "rep", "copies", "text").groupBy(*keys).applyInPandas(verify, "rep long, links long, root long"),
+        map_groups(dealt, ["component", "cell_a", "cell_b"], "rep", ["mine", "copies", "text"], verify, "rep long, links long, root long"),
         "jaccard-link",
     )
     groups = connected_components(verified, "rep", "root").withColumnRenamed("node", "rep")
