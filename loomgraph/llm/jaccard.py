@@ -176,7 +176,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Dat
     #: one row of text for each member of a cell
     texts = (
         docs.select(F.coalesce("doc_id", F.lit(-1)).alias("one_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("one_hash"), "text")
-        .join(chosen, ["one_id", "one_hash"]).dropDuplicates(["rep"])
+        .join(chosen.hint("merge"), ["one_id", "one_hash"]).dropDuplicates(["rep"])
     )
     dealt = block_pairs(texts.select("component", "n", "rep", "copies", "text"), "n", "rep", BLOCK)
 
