@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumns({
         "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_none": F.col("doc_id").isNull(), "_hash": F.xxhash64(F.coalesce("text", F.lit(""))),
     })
-    return keyed.join(keep, ["_id", "_none", "_hash"]).dropDuplicates(["_id", "_none", "_hash"]).select(*docs.columns)
+    return keyed.join(keep.hint("merge"), ["_id", "_none", "_hash"]).dropDuplicates(["_id", "_none", "_hash"]).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

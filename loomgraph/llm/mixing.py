@@ -160,7 +160,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.
     rank = F.row_number().over(Window.partitionBy(*key, "mix_cell").orderBy("mix_draw", "doc_id"))
     return (
         drawn.withColumn("mix_rank", rank)
-        .join(filled.drop("n", "quota"), [*key, "mix_cell"])
+        .join(filled.drop("n", "quota").hint("merge"), [*key, "mix_cell"])
         .withColumn("taken", F.col("size") * (F.col("whole") + (F.col("mix_rank") <= F.col("room")).cast("int")))
         .drop("mix_source", "mix_null", "mix_draw", "mix_cell", "mix_rank", "room", "whole")
     )

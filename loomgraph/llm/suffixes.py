@@ -394,7 +394,8 @@ def cut_out(raw: bytes, windows: list[tuple[int, int]], length: int) -> tuple[by
 def _with_windows(docs: DataFrame, length: int) -> DataFrame:
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     found = repeated_windows(docs, length).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "windows")
-    return keyed.join(found, ["_id", "_hash"], "left").drop("_id", "_hash")
+    #: both sides grow with the corpus: one plan at every size
+    return keyed.join(found.hint("merge"), ["_id", "_hash"], "left").drop("_id", "_hash")
 
 
 def _pairs(column: pa.Array) -> list[list[tuple[int, int]]]:
