@@ -125,7 +125,9 @@ def learn(labelled: DataFrame, cells: int = CELLS) -> Centroids | None:
     if not got.num_rows:
         return None
     got = got.sort_by([("lang", "ascending"), ("h", "ascending")])
-    vectors = [(np.array(x.as_py(), np.int64), np.array(n.as_py(), np.float64)) for x, n in zip(got["at"], got["n"], strict=True)]
+    at, n = got["at"].combine_chunks(), got["n"].combine_chunks()
+    ends = np.cumsum(pc.list_value_length(at).to_numpy(zero_copy_only=False))
+    vectors = list(zip(np.split(at.flatten().to_numpy(), ends[:-1]), np.split(n.flatten().to_numpy(), ends[:-1]), strict=True))
     return fit_centroids(got["lang"].to_pylist(), vectors)
 
 
