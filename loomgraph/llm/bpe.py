@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of its bytes. Every adjacent pair that the rank
-file knows waits in the bucket of its rank; three levels of 64-bit words mark
-the buckets that hold something, so find-first-set on three words gives the
-next rank, whatever the length. Entries whose pair has changed since are
+file knows waits in the bucket of its rank; two levels of 256-bit words mark the
+buckets that hold something, so find-first-set on two words gives the next
+rank, whatever the length. Entries whose pair has changed since are
 skipped when they come up. A pre-token of n bytes takes O(n) queue steps, with
 no rescans: megabytes without a space are no special case.
 
@@ -27,20 +27,22 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE = 300_000
+CACHE = 400_000
 
 
 class _Pieces(dict):
-    """Ids of pre-tokens; starts afresh when full."""
+    """Ids of pre-tokens, of two generations: a full one becomes the older one,
+    whose entries come back when they are met again."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        ids = self.encode(piece.encode())
+        ids = self.older.get(piece) or self.encode(piece.encode())
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -59,66 +61,75 @@ class ByteBpe:
         self.names = [str(k) for k in range(size)]
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self.encode_piece)
-        self._low, self._mid, self._buckets = [0] * ((size >> 6) + 1), [0] * ((size >> 12) + 1), {}
+        self._low, self._buckets = [0] * ((size >> 8) + 1), {}
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """Token ids of one pre-token."""
         ranks = self.ranks
         if piece in ranks:
             return (ranks[piece],)
-        low, mid, buckets, top, n = self._low, self._mid, self._buckets, 0, len(piece)
+        get, low, buckets, top, n = ranks.get, self._low, self._buckets, 0, len(piece)
         after, before, rank = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
+            r = get(piece[i : i + 2])
             if r is not None:
                 rank[i] = r
                 if r in buckets:
                     buckets[r].append(i)  # positions ascend
                 else:
                     buckets[r] = [i]
-                    low[r >> 6] |= 1 << (r & 63)
-                    mid[r >> 12] |= 1 << (r >> 6 & 63)
-                    top |= 1 << (r >> 12)
+                    b = r >> 8
+                    low[b] |= 1 << (r & 255)
+                    top |= 1 << b
         while top:
-            a = (top & -top).bit_length() - 1
-            b = a << 6 | (mid[a] & -mid[a]).bit_length() - 1
-            r = b << 6 | (low[b] & -low[b]).bit_length() - 1
+            b = (top & -top).bit_length() - 1
+            word = low[b]
+            r = b << 8 | (word & -word).bit_length() - 1
             bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[r]
-                low[b] &= low[b] - 1
-                if not low[b]:
-                    mid[a] &= mid[a] - 1
-                    if not mid[a]:
-                        top &= top - 1
+                word &= word - 1
+                low[b] = word
+                if not word:
+                    top &= top - 1
             if rank[i] != r:
                 continue  # stale
             j = after[i]
             k = after[j]
-            rank[j] = -1
+            rank[j] = rank[i] = -1
             after[i] = k
             before[k] = i
+            if k < n and (new := get(piece[i : after[k]])) is not None:
+                rank[i] = new
+                if new in buckets:
+                    heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    b = new >> 8
+                    low[b] |= 1 << (new & 255)
+                    top |= 1 << b
             p = before[i]
-            for left, end in ((i, after[k] if k < n else -1), (p, k)):
-                if left < 0:
-                    continue
-                new = ranks.get(piece[left:end]) if end >= 0 else None
+            if p >= 0:
+                new = get(piece[p:k])
                 if new is None:
-                    rank[left] = -1
-                    continue
-                rank[left] = new
-                if new in buckets:
-                    heappush(buckets[new], left)
+                    rank[p] = -1
                 else:
-                    buckets[new] = [left]
-                    low[new >> 6] |= 1 << (new & 63)
-                    mid[new >> 12] |= 1 << (new >> 6 & 63)
-                    top |= 1 << (new >> 12)
+                    rank[p] = new
+                    if new in buckets:
+                        heappush(buckets[new], p)
+                    else:
+                        buckets[new] = [p]
+                        b = new >> 8
+                        low[b] |= 1 << (new & 255)
+                        top |= 1 << b
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            k = after[i]
+            out.append(ranks[piece[i:k]])
+            i = k
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
