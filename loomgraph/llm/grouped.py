@@ -34,9 +34,10 @@ def block_pairs(members: DataFrame, count: str, order: str, block: int) -> DataF
     )
 
 
-def map_groups(df: DataFrame, keys: list[str], then: str, columns: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], then: str, columns: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, tasks: int | None = None) -> DataFrame:
     """fn(table, bounds) over runs of whole groups; keys are numeric, rows of a
-    group are in the order of ``then``."""
+    group are in the order of ``then``. With ``tasks`` the first key, a number
+    below it, is the task itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -68,7 +69,9 @@ def map_groups(df: DataFrame, keys: list[str], then: str, columns: list[str], fn
             change[1:-1] |= v[1:] != v[:-1]
         yield from fn(t, np.flatnonzero(change))
 
-    return df.select(*keys, then, *columns).repartition(*keys).sortWithinPartitions(*keys, then).mapInArrow(run, schema)
+    rows = df.select(*keys, then, *columns)
+    dealt = rows.repartitionById(tasks, F.col(keys[0])) if tasks else rows.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, then).mapInArrow(run, schema)
 
 
 def small_pairs(bounds: np.ndarray, most: int = SMALL) -> tuple[np.ndarray, np.ndarray]:

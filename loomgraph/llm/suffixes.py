@@ -335,7 +335,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     out = []
             yield _places(out)
 
-    windows = map_groups(runs, ["bucket"], "tie", ["run"], merge, "doc_id long, text_hash long, first int, last int")
+    windows = map_groups(runs, ["bucket"], "tie", ["run"], merge, "doc_id long, text_hash long, first int, last int", tasks=buckets)
     return windows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
 
 
