@@ -73,7 +73,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def chunks(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(off: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes together, one row at least."""
     row, rows = 0, len(off) - 1
     while row < rows:
