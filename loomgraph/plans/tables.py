@@ -1,7 +1,9 @@
 """The engine's operators over the relational tables, each with its SQL.
 
 The tables hold no source code, so entities stand in: nations are workflows,
-suppliers and orders their files, and so on. Every query reads whole tables.
+suppliers and orders their files, and so on. Every query reads whole tables;
+``g3_cycles``, ``g7_components`` and ``j11_overlap`` then keep only the rows that
+their SQL names, and their ``_whole`` forms keep all users, suppliers and orders.
 """
 
 from __future__ import annotations
@@ -72,10 +74,10 @@ def g2(t):
 
 
 def transitions(t) -> DataFrame:
-    """Event types that follow each other, among the rarer steps of each user."""
+    """Event types that follow each other, in the steps of each user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     steps = t("events").select("user_id", F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst"), (F.col("user_id") % 3).cast("string").alias("via"))
-    return steps.where("dst is not null and user_id % 11 = 0")
+    return steps.where("dst is not null")
 
 
 TRANSITIONS_SQL = """tr as (select distinct src, dst from (
@@ -89,6 +91,12 @@ pairs as (select a.src, a.dst from walk a join walk b on a.src = b.dst and a.dst
 select min(dst) as cycle, list_sort(list(distinct dst)) members from pairs group by src
 qualify row_number() over (partition by list_sort(list(distinct dst)) order by src) = 1""")
 def g3(t):
+    return graph.cycles(transitions(t).where("user_id % 11 = 0"))
+
+
+@query("g3_cycles_whole")
+def g3_whole(t):
+    """Over the steps of all users."""
     return graph.cycles(transitions(t))
 
 
@@ -119,10 +127,24 @@ def g7(t):
     s = t("supplier")
     keys = s.where("s_nationkey % 3 = 0").select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("key")).union(
         s.where("s_nationkey % 3 <> 1").select("s_suppkey", F.concat(F.lit("b"), F.floor(F.col("s_acctbal") / 100).cast("string"))))
+    return key_components(keys)
+
+
+def key_components(keys: DataFrame) -> DataFrame:
+    """Suppliers that keys join, by a star for each key."""
     hub = keys.groupBy("key").agg(F.min("s_suppkey").alias("hub"))
     return connected_components(keys.join(hub, "key"), "s_suppkey", "hub")
 
 
+@query("g7_components_whole")
+def g7_whole(t):
+    """Every supplier with both keys; one without either stands alone."""
+    s = t("supplier")
+    nation, balance = F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.concat(F.lit("b"), F.floor(F.col("s_acctbal") / 100).cast("string"))
+    own = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    return key_components(s.select("s_suppkey", F.explode(F.array_compact(F.array(own, nation, balance))).alias("key")))
+
+
 @query("g8_in_degree", "select l_partkey as node, count(*) as n from (select distinct l_suppkey, l_partkey from lineitem) group by 1")
 def g8(t):
     return graph.in_degree(t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct())
@@ -235,6 +257,15 @@ def j11(t):
     return t("lineitem").where("l_orderkey % 5 = 0").join(hot, "l_partkey", "left_semi").agg(F.countDistinct("l_orderkey").alias("n"))
 
 
+@query("j11_overlap_whole", """with a as (select l_orderkey k, list(distinct l_partkey) p from lineitem group by 1),
+h as (select p_partkey from part where p_size > 48)
+select count(*) as n from a where list_has_any(p, (select list(p_partkey) from h))""")
+def j11_whole(t):
+    """Over all orders."""
+    hot = t("part").where("p_size > 48").select(F.col("p_partkey").alias("l_partkey"))
+    return t("lineitem").join(hot, "l_partkey", "left_semi").agg(F.countDistinct("l_orderkey").alias("n"))
+
+
 @query("j12_self_hash", "select sha256(text) as h, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
 def j12(t):
     return t("documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
