@@ -7,6 +7,13 @@ is split into several centroids by spherical k-means. A text gets the language
 of the nearest centroid by cosine; one whose cosine is below the rejection
 distance is marked as rejected, and keeps its nearest language.
 
+The rejection distance is learned for each language and size of text (powers of
+two of its grams), because cosines grow with length: a quarter of the sample is
+held back from the centroids, cut to lengths of 4 to 4096 bytes and scored, and
+SLACK of the lowest hundredth of those scores is the least cosine. A size with
+fewer than LEAST held-back texts takes the next smaller size's; REJECT is the
+floor of all.
+
 The classifier is fitted on a bounded sample: at most ``cells`` documents a
 language, those of the smallest hash in each of ``cells`` hash cells (one
 aggregation with map-side minima, no sort of a language). Only the sample comes
@@ -19,7 +26,7 @@ repeat are predicted alike; labels never reach a prediction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .text import U, chunks, mix, strings
 
-DIMS, CELLS, CENTROIDS, ROUNDS, REJECT = 1 << 13, 768, 4, 8, 0.03
+DIMS, CELLS, CENTROIDS, ROUNDS, REJECT = 1 << 15, 768, 4, 8, 0.03
+HELD, TAIL, SLACK, LEAST, LENGTHS, SIZES = 4, 0.01, 0.5, 20, [1 << k for k in range(2, 13)], 15
 _CLEAN = np.full(256, 32, np.uint8)
 _CLEAN[97:123] = np.arange(97, 123)
 _CLEAN[65:91] = np.arange(97, 123)
@@ -47,40 +55,71 @@ def count_grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         three = pair << np.uint32(8) | wide[2:-1]
         four = three << np.uint32(8) | wide[3:]
         n = len(raw)
-        dims = [((g[:n] * np.uint32(m)) >> np.uint32(19)).astype(np.int32) for g, m in ((pair, 2654435761), (three, 2246822519), (four, 3266489917))]
+        dims = [((g[:n] * np.uint32(m)) >> np.uint32(17)).astype(np.int32) for g, m in ((pair, 2654435761), (three, 2246822519), (four, 3266489917))]
         blank = (raw == 32) & (wide[1 : n + 1] == 32)
         for k in range(a, z):
             lo, hi = off[k] - off[a], off[k + 1] - off[a]
-            counts = np.zeros(DIMS, np.int64)
+            parts = []
             for size, d in zip((2, 3, 4), dims, strict=True):
                 inside = d[lo : max(lo, hi - size + 1)]
-                counts += np.bincount(inside[~blank[lo : lo + len(inside)]], minlength=DIMS)
+                parts.append(inside[~blank[lo : lo + len(inside)]])
+            counts = np.bincount(np.concatenate(parts), minlength=DIMS)
             at = np.flatnonzero(counts)
             yield at, counts[at]
 
 
+def size_of(counts: np.ndarray) -> int:
+    """Which power of two of grams a text has."""
+    return min(SIZES - 1, int(counts.sum()).bit_length())
+
+
 @dataclass
 class Centroids:
-    """langs[k] is the language of row k of the (centroids, DIMS) matrix."""
+    """langs[k] is the language of row k of the (centroids, DIMS) matrix;
+    least[k, size] is the least cosine of its texts, where that is learned."""
 
     langs: list[str]
     idf: np.ndarray
     rows: np.ndarray
+    least: np.ndarray | None = None
 
     def weigh(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[at]
         size = np.sqrt((w * w).sum())
         return w / size if size else w
 
-    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest centroid and cosine of each text."""
-        best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
+    def nearest(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, float, int]]:
+        """Nearest centroid, cosine and size of each text's counts."""
         by_dim = np.ascontiguousarray(self.rows.T)
-        for k, (at, counts) in enumerate(count_grams(column)):
+        for at, counts in vectors:
             near = self.weigh(at, counts).astype(np.float32) @ by_dim[at]
-            best[k] = near.argmax()
-            score[k] = min(1.0, max(0.0, float(near[best[k]])))
-        return best, score
+            best = int(near.argmax())
+            yield best, min(1.0, max(0.0, float(near[best]))), size_of(counts)
+
+    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest centroid, cosine and least cosine of each text."""
+        best, score, least = np.zeros(len(column), np.int64), np.zeros(len(column)), np.zeros(len(column))
+        for k, (b, x, size) in enumerate(self.nearest(count_grams(column))):
+            best[k], score[k] = b, x
+            if self.least is not None:
+                least[k] = self.least[b, size]
+        return best, score, least
+
+    def learn_least(self, langs: list[str], vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The least cosines from texts that the centroids weren't fitted on."""
+        seen: dict[tuple[str, int], list[float]] = {}
+        for lang, (best, score, size) in zip(langs, self.nearest(vectors), strict=True):
+            #: a label that the text contradicts says nothing of its language
+            if self.langs[best] == lang:
+                seen.setdefault((lang, size), []).append(score)
+        self.least = np.zeros((len(self.langs), SIZES))
+        for k, lang in enumerate(self.langs):
+            now = 0.0
+            for size in range(SIZES):
+                got = seen.get((lang, size), ())
+                if len(got) >= LEAST:
+                    now = SLACK * float(np.quantile(got, TAIL))
+                self.least[k, size] = now
 
 
 def fit_centroids(langs: list[str], vectors: list[tuple[np.ndarray, np.ndarray]], k: int = CENTROIDS, rounds: int = ROUNDS) -> Centroids:
@@ -90,45 +129,64 @@ def fit_centroids(langs: list[str], vectors: list[tuple[np.ndarray, np.ndarray]]
         seen[at] += 1
     model = Centroids([], np.log((1 + len(vectors)) / (1 + seen)) + 1, np.zeros((0, DIMS), np.float32))
     for lang in sorted(set(langs)):
-        x = np.zeros((langs.count(lang), DIMS), np.float32)
-        for row, j in enumerate(i for i, own in enumerate(langs) if own == lang):
-            x[row, vectors[j][0]] = model.weigh(*vectors[j])
-        mean = x.mean(axis=0)
-        picks = [int((x @ mean).argmax())]
-        while len(picks) < min(k, len(x)):
-            picks.append(int((x @ x[picks].T).max(axis=1).argmin()))
-        c = x[picks]
+        mine = [v for own, v in zip(langs, vectors, strict=True) if own == lang]
+        n, at = len(mine), np.concatenate([v[0] for v in mine])
+        x, row = np.concatenate([model.weigh(*v) for v in mine]), np.repeat(np.arange(n), [len(v[0]) for v in mine])
+
+        def total(rows: np.ndarray) -> np.ndarray:
+            inside = rows[row]
+            return np.bincount(at[inside], x[inside], DIMS)
+
+        def cosines(c: np.ndarray) -> np.ndarray:
+            return np.stack([np.bincount(row, x * one[at], n) for one in c], axis=1)
+
+        picks = [int(cosines(total(np.ones(n, bool))[None])[:, 0].argmax())]
+        while len(picks) < min(k, n):
+            picks.append(int(cosines(np.stack([total(np.arange(n) == j) for j in picks])).max(axis=1).argmin()))
+        c = np.stack([total(np.arange(n) == j) for j in picks])
         for _ in range(rounds):
-            own = (x @ c.T).argmax(axis=1)
-            c = np.stack([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+            own = cosines(c).argmax(axis=1)
+            c = np.stack([total(own == j) if (own == j).any() else c[j] for j in range(len(c))])
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         #: a centroid of a few odd texts says little of its language
-        share = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c)) / len(x)
+        share = np.bincount(cosines(c).argmax(axis=1), minlength=len(c)) / n
         c = c[share >= min(0.02, share.max())]
         model.langs += [lang] * len(c)
-        model.rows = np.concatenate([model.rows, c])
+        model.rows = np.concatenate([model.rows, c.astype(np.float32)])
     return model
 
 
 def learn(labelled: DataFrame, cells: int = CELLS) -> Centroids | None:
-    """Fit on labelled (doc_id, text, lang) rows; None without any."""
+    """Fit on labelled (doc_id, text, lang) rows; None without any. One in HELD
+    rows of the sample is held back for the rejection distances, where a
+    language has LEAST rows for each of both parts."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text", "doc_id").alias("h"))
     least = rows.groupBy("lang", F.pmod(F.shiftrightunsigned("h", 33), F.lit(cells)).alias("cell")).agg(F.min("h").alias("h"))
     picked = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
+    sizes = least.groupBy("lang").agg(F.count("*").alias("cells"))
+    aside = (F.col("cells") >= LEAST * HELD * 2) & (F.pmod("h", F.lit(HELD)) == 0)
+    picked = picked.join(F.broadcast(sizes), "lang").withColumn("aside", aside)
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sparse = list(count_grams(b.column(0)))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x[0].astype(np.int32) for x in sparse], pa.list_(pa.int32())), pa.array([x[1].astype(np.int32) for x in sparse], pa.list_(pa.int32()))], names=["lang", "h", "at", "n"])
+            for text, lang, h, back in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                raw = text.encode()
+                cuts = [raw[:n].decode(errors="ignore") for n in LENGTHS if n <= len(raw)] if back else [text]
+                sparse = list(count_grams(pa.array(cuts, pa.string())))
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(cuts), t) for x, t in ((lang, pa.string()), (h, pa.int64()), (back, pa.bool_()))] + [pa.array([x[k].astype(np.int32) for x in sparse], pa.list_(pa.int32())) for k in (0, 1)], names=["lang", "h", "aside", "at", "n"])
 
-    got = picked.select("text", "lang", "h").mapInArrow(grams, "lang string, h long, at array<int>, n array<int>").toArrow()
+    got = picked.select("text", "lang", "h", "aside").mapInArrow(grams, "lang string, h long, aside boolean, at array<int>, n array<int>").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by([("lang", "ascending"), ("h", "ascending")])
+    langs, back = np.array(got["lang"].to_pylist(), object), np.array(got["aside"].to_pylist(), bool)
     at, n = got["at"].combine_chunks(), got["n"].combine_chunks()
     ends = np.cumsum(pc.list_value_length(at).to_numpy(zero_copy_only=False))
     vectors = list(zip(np.split(at.flatten().to_numpy(), ends[:-1]), np.split(n.flatten().to_numpy(), ends[:-1]), strict=True))
-    return fit_centroids(got["lang"].to_pylist(), vectors)
+    model = fit_centroids(list(langs[~back]), [v for v, held in zip(vectors, back, strict=True) if not held])
+    model.learn_least(list(langs[back]), [v for v, held in zip(vectors, back, strict=True) if held])
+    return model
 
 
 def identify(docs: DataFrame, model: Centroids | None, reject: float = REJECT) -> DataFrame:
@@ -148,10 +206,10 @@ def identify(docs: DataFrame, model: Centroids | None, reject: float = REJECT) -
             if found is None:
                 langs, score, far = ["und"] * b.num_rows, np.zeros(b.num_rows), np.ones(b.num_rows, bool)
             else:
-                best, score = found.predict(text)
+                best, score, least = found.predict(text)
                 score = np.where(letters, score, 0.0)
                 langs = [found.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
-                far = ~letters | (score < reject)
+                far = ~letters | (score < np.maximum(reject, least))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -146,6 +147,21 @@ def test_language(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.language_of(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_junk_and_unlearned_languages_are_rejected(spark):
+    rng = random.Random(4)
+    learned = {"en": "the house and garden with other things that were there when they came over this river for their holidays".split(), "de": "das haus und der garten mit anderen dingen die dort waren als sie über den fluss zurück kamen".split()}
+    say = lambda ws, n: " ".join(rng.choice(ws) for _ in range(n))
+    rows = [(k, say(learned[lang], rng.randrange(3, 300)), lang) for k in range(800) for lang in [("en", "de")[k % 2]]]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    letters = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "กขคงจฉชซญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหอฮ", "".join(map(chr, range(0x4E00, 0x5200)))]
+    words = [["".join(rng.choices(a, k=rng.randrange(2, 9))) for _ in range(2000)] for a in letters] + ["minä olen hyvin iloinen koska aurinko paistaa tänään ja linnut laulavat pihalla".split()]
+    probe = [(f"junk{k}", say(ws, n)) for k, ws in enumerate(words) for n in (10, 100, 1000) for _ in range(10)]
+    probe += [(lang, say(ws, n)) for lang, ws in learned.items() for n in (3, 10, 100, 1000) for _ in range(10)]
+    got = langid.identify(spark.createDataFrame(probe, "kind string, text string"), model).collect()
+    assert [(r.kind, len(r.text)) for r in got if r.rejected != r.kind.startswith("junk")] == []
+    assert all(r.kind == r.lang_pred for r in got if not r.rejected)
+
+
 # ---- suffix array
 
 def removed_by_brute_force(docs, length):
