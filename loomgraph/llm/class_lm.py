@@ -5,19 +5,25 @@ with one end token, which is also the context of its first word.
 
 Exchange clustering moves types between classes to raise the likelihood of the
 class bigrams. Types are the words with at least 1 / 2**12 of all training
-tokens (at most 4096 by pigeonhole) and, for all other words, 2048 buckets of
-word endings, so every word, known or not, has a class. A pass over the corpus
-counts, for every type, the classes before and after it; a sweep then moves each
-type to the class where those counts fit best. Passes and sweeps alternate.
+tokens (at most 4096 by pigeonhole) and 2048 buckets of word endings, which at
+first stand for all other words. A pass over the corpus counts, for every type,
+the classes before and after it; a sweep then moves each type to the class where
+those counts fit best. Passes and sweeps alternate.
+
+Then every other word of the training texts, however rare, is counted with the
+classes before and after it and moves to the class where its own counts fit
+best, by the same criterion: distributed, one row for each word and class
+beside it, against the broadcast sums of the frequent words in each class. Only words that no
+training text holds take the class of their ending. The number of classes grows with the vocabulary.
 
 Transitions are smoothed towards class frequencies, emissions by adding DELTA
 to every word of a class and to one unknown word.
 
 Counts cover the whole corpus and stay distributed. Words with at least
 1 / 2**20 of the tokens (at most 2**20 by pigeonhole) are broadcast with their
-counts; a text's other words meet their counts in a join, one row for each
-distinct word of a text. None of those words is frequent, so the join has no
-hot key.
+counts and classes; a text's other words meet theirs in a join, one row for each
+distinct word of a distinct text, and come back to the text as one list. None of
+those words is frequent, so the join has no hot key.
 
 Defined results: a null text is empty and scores its end token; repeated rows
 are scored alike; without training rows every probability is that of an
@@ -40,7 +46,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 CLASSES, ENDINGS, HEAD_SHIFT, COMMON_SHIFT, PASSES, SWEEPS = 32, 2048, 12, 20, 2, 3
-DELTA, KAPPA, FLUSH, BLOCK = 0.4, 32.0, 400_000, 128
+DELTA, KAPPA, FLUSH, BLOCK, GROWTH = 0.4, 32.0, 400_000, 128, 0.3
 END = b"\n"  # no word holds it
 
 
@@ -90,9 +96,13 @@ class Types(dict):
         return self.of_ending(word)
 
 
+def class_count(vocab: int) -> int:
+    return max(CLASSES, int(np.ceil(vocab**GROWTH)))
+
+
 def contexts(docs: DataFrame, held, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(types, classes) counts of the class before and after each type."""
-    wide, total = CLASSES + 1, len(held.value[0])
+    wide, total = int(classes[0]) + 1, len(held.value[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = held.value[0]
@@ -135,7 +145,7 @@ def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, sweeps: i
     ctx = np.concatenate([left, right], axis=1).astype(float)
     weight = ctx.sum(axis=1)
     classes = classes.copy()
-    sums = np.zeros((CLASSES, ctx.shape[1]))
+    sums = np.zeros((classes[0], ctx.shape[1]))
     np.add.at(sums, classes[1:], ctx[1:])
     mass = sums.sum(axis=1)
     for _ in range(sweeps):
@@ -159,23 +169,56 @@ def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, sweeps: i
     return classes
 
 
-def _class_sizes(counts: DataFrame, held, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class."""
+def best_class(ctx: np.ndarray, sums: np.ndarray) -> int:
+    """The class to which counts of contexts add most likelihood. A class of no
+    counts would take every word, so it takes none."""
+    at = np.flatnonzero(ctx)
+    own, weight, mass = sums[:, at], ctx.sum(), sums.sum(axis=1)
+    gain = (_xlogx(own + ctx[at]) - _xlogx(own)).sum(axis=1) - (_xlogx(mass + weight) - _xlogx(mass))
+    return int(np.where(mass > 0, gain, -np.inf).argmax())
+
+
+def place_words(learned: DataFrame, held, classes: np.ndarray, sums: np.ndarray) -> DataFrame:
+    """word, c: the class of each training word that is no type of its own."""
+    wide, spark = int(classes[0]) + 1, learned.sparkSession
+    fitted = spark.sparkContext.broadcast(sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = held.value[0]
-        tokens, words = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+        seen: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            words, beside = zip(*seen.keys(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(beside, pa.int32()), pa.array(seen.values(), pa.int64())], names=["word", "beside", "n"])
+
         for b in batches:
-            c = classes[np.array(list(map(types.__getitem__, b.column(0).to_pylist())), np.int64)]
-            tokens += np.bincount(c, b.column(1).to_numpy(), CLASSES + 1)
-            words += np.bincount(c, minlength=CLASSES + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES + 1), pa.int32()), pa.array(tokens.astype(np.int64)), pa.array(words.astype(np.int64))], names=["c", "tokens", "words"])
+            for text in b.column(0):
+                ws = split_words(text.as_py())
+                t = [0, *map(types.__getitem__, ws), 0]
+                c = classes[t].tolist()
+                for k, w in enumerate(ws, 1):
+                    if t[k] >= types.first:
+                        seen[w, c[k - 1]] += 1
+                        seen[w, wide + c[k + 1]] += 1
+                if len(seen) > FLUSH:
+                    yield rows()
+                    seen.clear()
+        if seen:
+            yield rows()
 
-    got = counts.select("word", "n").mapInArrow(run, "c int, tokens long, words long").groupBy("c").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).collect()
-    tokens, words = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in got:
-        tokens[r.c], words[r.c] = r.t, r.w
-    return tokens, words
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = fitted.value
+        for b in batches:
+            out = []
+            for beside in b.column(1).to_pylist():
+                ctx = np.zeros(2 * wide)
+                for x in beside:
+                    ctx[x["beside"]] = x["n"]
+                out.append(best_class(ctx, total))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], names=["word", "c"])
+
+    counted = learned.select("text").mapInArrow(run, "word binary, beside int, n long").groupBy("word", "beside").agg(F.sum("n").alias("n"))
+    return counted.groupBy("word").agg(F.collect_list(F.struct("beside", "n")).alias("beside")).mapInArrow(place, "word binary, c int")
 
 
 def class_scores(docs: DataFrame, train) -> DataFrame:
@@ -188,66 +231,99 @@ def class_scores(docs: DataFrame, train) -> DataFrame:
     learned = rows.where("not held_out")
     counts = cut(count_words(learned), "lm-counts")
     total, vocab = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = counts.where(F.col("n") * (1 << COMMON_SHIFT) >= total).toArrow()
-    common = dict(zip(often["word"].to_pylist(), often["n"].to_pylist(), strict=True))
+    often = F.col("n") * (1 << COMMON_SHIFT) >= total
+    got = counts.where(often).toArrow()
+    common = dict(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True))
     head = sorted((w for w, n in common.items() if n << HEAD_SHIFT >= total and w != END), key=lambda w: (-common[w], w))
     held = spark.sparkContext.broadcast((Types(head, common), common))
-    size = len(held.value[0])
-    classes = np.arange(size) % CLASSES
-    classes[0] = CLASSES
+    size, many = len(held.value[0]), class_count(vocab)
+    classes = np.arange(size) % many
+    classes[0] = many
     for _ in range(PASSES):
         classes = exchange(*contexts(learned, held, classes), classes)
-    _, right = contexts(learned, held, classes)
-    moves = np.zeros((CLASSES + 1, CLASSES + 1))
-    np.add.at(moves, classes, right)
-    share = (moves.sum(axis=0) + 1) / (moves.sum() + CLASSES + 1)
-    step = np.log10((moves + KAPPA * share) / (moves.sum(axis=1, keepdims=True) + KAPPA))
-    tokens, words = _class_sizes(counts, held, classes)
-    room = tokens + DELTA * (words + 1)
-    log_room, log_base = np.log10(room), np.log10(total + vocab + 1)
+    left, right = contexts(learned, held, classes)
+    sums = np.zeros((many, 2 * (many + 1)))
+    #: endings mix words of different use; they count only where no word is frequent
+    fit = slice(1, 1 + len(head) if head else size)
+    np.add.at(sums, classes[fit], np.concatenate([left, right], axis=1)[fit])
+
+    own = spark.createDataFrame([(END, many), *((w, int(classes[1 + k])) for k, w in enumerate(head))], "word binary, c int")
+    known = cut(counts.join(place_words(learned, held, classes, sums).unionByName(own), "word"), "lm-words")
+    sizes = known.groupBy("c").agg(F.sum("n").alias("t"), F.count("*").alias("w")).collect()
+    tokens, words = np.zeros(many + 1), np.zeros(many + 1)
+    for x in sizes:
+        tokens[x.c], words[x.c] = x.t, x.w
+    got = known.where(often).toArrow()
+    lookup = spark.sparkContext.broadcast(dict(zip(got["word"].to_pylist(), zip(got["n"].to_pylist(), got["c"].to_pylist(), strict=True), strict=True)))
+
+    keyed = rows.select(F.col("doc_id").cast("long"), "text", "held_out", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = lookup.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                few = b.slice(lo, 200)
+                found = [[w for w in set(split_words(text)) if w not in often] for text in few.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(few.column(1).to_numpy(), [len(x) for x in found])), pa.array(list(chain(*found)), pa.binary())], names=["h", "word"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, known = held.value
-        fields = ["doc_id", "h", "held_out", "n_tokens", "n_known", "base", "score", "word", "m"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+    met = keyed.select("text", "h").mapInArrow(rare_words, "h long, word binary").distinct().join(known.where(~often).hint("merge"), "word")
+    lists = met.groupBy("h").agg(F.collect_list(F.struct("word", "n", "c")).alias("rare"))
+    log_base = np.log10(total + vocab + 1)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, often = held.value[0], lookup.value
         for b in batches:
             for lo in range(0, b.num_rows, 200):
-                out: list[list] = [[] for _ in fields]
+                out: list[list] = [[], [], [], [], []]
                 few = b.slice(lo, 200)
-                for doc_id, text, aside, h in zip(*(x.to_pylist() for x in few.columns), strict=True):
+                for text, rare in zip(few.column(1).to_pylist(), few.column(3).to_pylist(), strict=True):
                     ws = split_words(text)
                     ws.append(END)
-                    c = classes[np.fromiter(chain((0,), map(types.__getitem__, ws)), np.int64, len(ws) + 1)]
-                    n = np.fromiter(map(known.get, ws, (0,) * len(ws)), np.float64, len(ws))
-                    found = n > 0
-                    score = step[c[:-1], c[1:]].sum() - log_room[c[1:]].sum() + np.log10(n[found] + DELTA).sum()
-                    rare = Counter(w for w, ok in zip(ws, found.tolist(), strict=True) if not ok)
-                    own = (doc_id, h, aside, len(ws), int(found.sum()), float(np.log10(n[found] + 1).sum() - len(ws) * log_base), float(score), None, None)
-                    for x, v in zip(out, own, strict=True):
+                    mine = {x["word"]: (x["n"], x["c"]) for x in rare or ()}
+                    pairs = [often.get(w) or mine.get(w) or (0, int(classes[types.of_ending(w)])) if w != END else (often.get(w, (0,))[0], many) for w in ws]
+                    n = np.array([x[0] for x in pairs], float)
+                    n_known = int((n > 0).sum())
+                    one = (len(ws), n_known, float(np.log10(n + 1).sum() - len(ws) * log_base), float(np.log10(n + DELTA).sum()), np.array([x[1] for x in pairs], np.int32).tobytes())
+                    for x, v in zip(out, one, strict=True):
                         x.append(v)
-                    k = len(rare)
-                    for x, v in zip(out, ([doc_id] * k, [h] * k, [None] * k, [None] * k, [None] * k, [None] * k, [None] * k, list(rare), list(rare.values())), strict=True):
-                        x.extend(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=fields)
-
-    made = cut(
-        rows.select(F.col("doc_id").cast("long"), "text", "held_out", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-        .mapInArrow(run, "doc_id long, h long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, m long"),
-        "lm-scores",
-    )
-    n = F.coalesce("n", F.lit(0))
-    rare = made.where("word is not null").select("doc_id", "h", "word", "m").join(counts.where(F.col("n") * (1 << COMMON_SHIFT) < total), "word", "left").select(
-        "doc_id", "h", F.lit(None).cast("boolean").alias("held_out"), F.lit(0).alias("n_tokens"),
-        F.when(n > 0, F.col("m")).otherwise(0).alias("n_known"),
-        (F.col("m") * F.log10(n + 1)).alias("base"), (F.col("m") * F.log10(n + DELTA)).alias("score"), F.lit(0).alias("one"),
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(2), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()), strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "emit", "path"])
+
+    paths = cut(
+        keyed.join(lists.hint("merge"), "h", "left").select("doc_id", "text", "held_out", "rare")
+        .mapInArrow(follow, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double, path binary"),
+        "lm-paths",
     )
-    whole = made.where("word is null").drop("word", "m").withColumn("one", F.lit(1))
-    by_text = whole.unionByName(rare).groupBy("doc_id", "h").agg(
-        F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score", "one")],
+
+    def steps_of(path: bytes) -> tuple[np.ndarray, np.ndarray]:
+        c = np.frombuffer(path, np.int32)
+        return np.concatenate([[many], c[:-1]]), c
+
+    def add_moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((many + 1) ** 2, np.int64)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                a, c = steps_of(path)
+                seen += np.bincount(a * (many + 1) + c, minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], names=["step", "n"])
+
+    moves = np.zeros((many + 1) ** 2)
+    for x in paths.where("not held_out").select("path").mapInArrow(add_moves, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():
+        moves[x.step] = x.n
+    moves = moves.reshape(many + 1, many + 1)
+    share = (moves.sum(axis=0) + 1) / (moves.sum() + many + 1)
+    step = np.log10((moves + KAPPA * share) / (moves.sum(axis=1, keepdims=True) + KAPPA))
+    log_room = np.log10(tokens + DELTA * (words + 1))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, emit in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):
+                a, c = steps_of(path)
+                out.append(float(emit + step[a, c].sum() - log_room[c].sum()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = paths.select("doc_id", "held_out", "n_tokens", "n_known", F.col("base").alias("base_score"), "path", "emit").mapInArrow(
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
-    each = lambda x: (F.col(x) / F.col("one"))  # noqa: E731  repeated rows score alike
-    return by_text.select(
-        "doc_id", "held_out", each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("score").alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("one").cast("int"))).alias("copy"),
-    ).drop("copy")
+    return scored.withColumn("train_tokens", F.lit(int(total)).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -131,6 +131,26 @@ def test_class_model_is_a_distribution(spark):
     assert sum(10 ** scores[1000 + k] for k in range(len(words))) < 1 and 0 < 10 ** scores[5000] < 1
 
 
+def test_rare_words_go_by_their_contexts(spark, monkeypatch):
+    """Words of one ending that stand in different places get classes of their
+    own contexts, broadcast or joined."""
+    rng = random.Random(5)
+    fill = ["red", "blue", "green"], ["runs", "sits", "eats"]
+    say = lambda noun, verb: f"{rng.choice(fill[0])} {noun} {rng.choice(fill[1])} {verb}"
+    rows = [(k, say(f"n{k % 40}xyz", f"v{k % 40}xyz")) for k in range(400)] + [(400 + k, say("apple", "often")) for k in range(400)]
+    probe = [(1000, "red n7xyz runs v7xyz"), (1001, "red v7xyz runs n7xyz")]
+    df = spark.createDataFrame(rows + probe, "doc_id long, text string")
+    monkeypatch.setattr(class_lm, "HEAD_SHIFT", 6)
+    found = []
+    for shift in (20, 6):
+        monkeypatch.setattr(class_lm, "COMMON_SHIFT", shift)
+        got = {r.doc_id: r.score for r in class_lm.class_scores(df, F.col("doc_id") < 1000).collect()}
+        assert got[1000] > got[1001] + 1
+        found.append(got)
+    assert all(math.isclose(found[0][k], found[1][k], abs_tol=1e-6) for k in found[0])
+    assert class_lm.class_count(10) == 32 < class_lm.class_count(10**6) < class_lm.class_count(10**8)
+
+
 # ---- language identification
 
 def test_language(spark, odd_docs, no_docs):
