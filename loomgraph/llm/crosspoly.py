@@ -64,10 +64,10 @@ def probes(x: np.ndarray, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
     return np.stack([own, second[:, :, 0] * wide + first[:, :, 1], first[:, :, 0] * wide + second[:, :, 1]], axis=2)
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
+def _usable() -> F.Column:
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-    return vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists(e, lambda v: v != 0))
+    return F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists(e, lambda v: v != 0), F.lit(False))
 
 
 def _hashed(reps: DataFrame, tables: int) -> DataFrame:
@@ -93,7 +93,7 @@ def _hashed(reps: DataFrame, tables: int) -> DataFrame:
 def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors."""
     keyed = vectors.select("vec_id", "label", "embedding")
-    good = _usable(keyed).withColumn("same", F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("embedding").cast("string")), 256))
+    good = keyed.where(_usable()).withColumn("same", F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("embedding").cast("string")), 256))
     good = cut(good, "cp-rows")
     reps = good.groupBy("same").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("rep", F.xxhash64("same"))
     hashed = cut(_hashed(reps, tables), "cp-codes")
@@ -158,5 +158,5 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES)
     )
     named = full.join(full.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("same", "n_links", "component_id")
     linked = good.select("vec_id", "same").join(named, "same").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
-    bare = keyed.join(linked.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    bare = keyed.where(~_usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(bare).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

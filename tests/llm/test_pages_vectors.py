@@ -132,3 +132,9 @@ def test_pipeline_against_brute_force(spark, odd_docs, tmp_path):
         want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()] += 1
     last = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert last == want and max(want.values()) <= 2
+
+
+def test_repeated_and_null_ids_keep_their_rows(spark):
+    rows = [(1, "a", [1.0, 0.0]), (1, "a", None), (1, "a", [0.0, 0.0]), (1, None, [1.0, 0.0]), (None, "a", [0.0, 1.0]), (None, "a", [float("nan"), 1.0])]
+    got = crosspoly.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links) for r in got) == [(0, 0)] * 2 + [(1, 0)] * 4
