@@ -1,13 +1,14 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding of fixed depth.
 
 A document is its set of runs of five words (A-Z as a-z; fewer than five words
 are one run). Documents with equal sets are one class member with a
-multiplicity. Every set gets a signature of TREES * DEPTH minima; each tree
-sorts signatures by its own DEPTH minima, and the documents below a node of
-that prefix trie are candidates. Matching begins at the deepest level; a tree's
-prefixes are shortened level by level until the recall at the threshold,
-1 - (1 - t**depth)**trees, reaches the target. Only nodes of two or more
-members go on.
+multiplicity. Every set gets a signature of TREES * DEPTH minima. This is no
+LSH forest: no trie is built and no prefix adapts to the data. The depth is the
+longest whose expected recall at the threshold, 1 - (1 - t**depth)**trees,
+reaches the target (4 at 0.8), the same for all trees; documents with equal first
+minima of a tree share a node and are candidates. The other minima serve the
+comparison of signatures only. Since the threshold is known beforehand, its
+expected recall fixes the depth. Only nodes of two or more members go on.
 
 Candidates meet in the node with their signatures; those whose signatures
 agree as a similarity well below the threshold would are linked into cells
@@ -84,7 +85,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _near_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst): edges that span the likely links of every trie node."""
+    """(src, dst): edges that span the likely links of every node."""
     depth, loose = depth_for(threshold), threshold - 0.25
     parts = F.array(*[
         F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * DEPTH * t, 4 * depth)) for t in range(TREES)
