@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is set.
+    Only a session of one machine (``local[...]``, as in tests) gets a temporary
+    folder where it names none; elsewhere executors couldn't read it, so that
+    is an error.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
-    named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-")
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="loomgraph-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 

@@ -1,5 +1,6 @@
 import random
 
+from loomgraph.operators import components
 from loomgraph.operators.components import connected_components
 
 
@@ -31,6 +32,20 @@ def test_random_graphs_chain_and_star(spark):
         assert {r.node: r.component for r in connected_components(df).collect()} == brute(edges)
 
 
+def test_star_rounds_agree_with_one_part(spark, monkeypatch):
+    """Many parts: rounds of stars, with every node of several edges a hub."""
+    monkeypatch.setattr(components, "HUB", 3)
+    rng = random.Random(8)
+    for edges in ([(rng.randrange(90), rng.randrange(90)) for _ in range(70)] + [(200, 200)], [(k, k + 1) for k in range(50)], [(0, k) for k in range(1, 60)]):
+        df = spark.createDataFrame(edges, "src long, dst long").repartition(6)
+        assert {r.node: r.component for r in connected_components(df, part=5).collect()} == brute(edges)
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("b", "é"), ("é", "a"), ("x", "x")], "src string, dst string")
+    assert {(r.node, r.component) for r in connected_components(df).collect()} == {("a", "a"), ("b", "a"), ("é", "a"), ("x", "x")}
+
+
 def test_empty_and_null_ends(spark):
     df = spark.createDataFrame([(None, 1), (2, None)], "src long, dst long")
     assert connected_components(df).count() == 0
