@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, spanning
 from ..session import cut
-from .grouped import SMALL, block_pairs, map_groups, small_pairs, spanning
+from .grouped import SMALL, block_pairs, map_groups, small_pairs
 
 TABLES, SEED, BLOCK = 6, 23, 1024
 

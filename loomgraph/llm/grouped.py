@@ -86,23 +86,6 @@ def small_pairs(bounds: np.ndarray, most: int = SMALL) -> tuple[np.ndarray, np.n
     return np.concatenate(left), np.concatenate(right)
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The root of each of n nodes: the first node of its component."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    return np.array([find(k) for k in range(n)], np.int64) if n else np.zeros(0, np.int64)
-
-
 def fixed(column: pa.ChunkedArray, dtype, n: int) -> np.ndarray:
     """A binary column of equal lengths as (n, -1) numbers."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(n, -1)

@@ -1,25 +1,31 @@
-"""N-gram Jaccard join by MinHash banding of fixed depth.
+"""N-gram Jaccard join by an LSH forest of MinHash signatures.
 
 A document is its set of runs of five words (A-Z as a-z; fewer than five words
 are one run). Documents with equal sets are one class member with a
-multiplicity. Every set gets a signature of TREES * DEPTH minima. This is no
-LSH forest: no trie is built and no prefix adapts to the data. The depth is the
-longest whose expected recall at the threshold, 1 - (1 - t**depth)**trees,
-reaches the target (4 at 0.8), the same for all trees; documents with equal first
-minima of a tree share a node and are candidates. The other minima serve the
-comparison of signatures only. Since the threshold is known beforehand, its
-expected recall fixes the depth. Only nodes of two or more members go on.
-
-Candidates meet in the node with their signatures; those whose signatures
-agree as a similarity well below the threshold would are linked into cells
+multiplicity. Every set gets a signature of TREES * DEPTH minima; DEPTH of them
+are its label in a tree.
+
+A tree is a sorted run of labels: neighbours that share a prefix are a node of
+its trie. Matching begins with the longest prefix, DEPTH minima, and shortens it
+minimum by minimum. At each length only those members of a node are compared
+that longer prefixes haven't joined to one cell yet, so a crowd of near copies
+is settled by the first prefix that they share, while looser neighbours are
+found at a shorter one. Shortening ends where the expected recall of a link at
+the threshold, 1 - (1 - t**length)**TREES, has reached the target (4 minima at
+0.8). The subtrees below that length are what is shuffled: a task holds whole
+subtrees and builds their runs by sorting.
+
+Comparisons are by signature, at a similarity so far below the threshold that
+a link passes but for odds of about 1 in 10**5; they link documents into cells
 (connected components). The documents of a cell are then compared with each
-other exactly, on their whole sets of 64-bit shingle hashes; large nodes and
+other exactly, on their whole sets of 64-bit shingle hashes; large subtrees and
 cells are dealt out as pairs of blocks, so no task holds an unbounded group.
 Only counts and a spanning forest leave a block, never all pairs.
 
 Defined results: null, empty and wordless texts link with nothing and are
 classes of their own; repeated rows are separate documents that link; a null
-doc_id takes part, and the class is the smallest non-null id in it.
+doc_id takes part, and the class is the smallest non-null id in it; columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, spanning
 from ..session import cut
-from .grouped import SMALL, block_pairs, fixed, map_groups, small_pairs, spanning
+from .grouped import SMALL, block_pairs, fixed, map_groups, small_pairs
 from .text import U, chunks, mix, shingles, strings, word_hashes
 
-TREES, DEPTH, RECALL, BLOCK = 16, 6, 0.999, 512
+TREES, DEPTH, RECALL, BLOCK, LOOSE = 16, 8, 0.999, 512, 0.17
 _SEEDS = mix(np.arange(1, TREES * DEPTH + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _ODD = _SEEDS | U(1)
 
@@ -84,47 +90,76 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, set binary, sig binary")
 
 
+def forest_links(labels: np.ndarray, sig: np.ndarray, bounds: np.ndarray, least: float, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, length): rows joined to cells, and the prefix that joined them.
+
+    labels: rows of minima, sorted inside each run that ``bounds`` delimits.
+    ``least``: how many minima of two signatures must agree.
+    """
+    n, depth = labels.shape
+    shared = np.zeros(n, np.int64)  # the prefix that a row shares with the row above
+    shared[1:] = np.cumprod(labels[1:] == labels[:-1], axis=1).sum(axis=1)
+    shared[bounds[:-1]] = -1
+    cell, own = np.arange(n), np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for length in range(depth, floor - 1, -1):
+        edge = np.flatnonzero(np.append(shared < length, True))
+        below = np.cumsum(shared <= length) if length < depth else own  # the child of a longer prefix
+        left, right = [], []
+        a, b = small_pairs(edge)
+        for lo in range(0, len(a), 20_000):
+            p, q = a[lo : lo + 20_000], b[lo : lo + 20_000]
+            new = (cell[p] != cell[q]) & (below[p] != below[q])
+            p, q = p[new], q[new]
+            near = (sig[p] == sig[q]).sum(axis=1) >= least
+            left.append(p[near])
+            right.append(q[near])
+        sizes = np.diff(edge)
+        for lo, size in zip(edge[:-1][sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            here, cells, child = sig[lo : lo + size], cell[lo : lo + size].copy(), below[lo : lo + size]
+            for k in range(size):
+                others = k + np.flatnonzero((cells[k:] != cells[k]) & (child[k:] != child[k]))
+                if len(others):
+                    near = others[(here[others] == here[k]).sum(axis=1) >= least]
+                    if len(near):
+                        left.append(np.full(len(near), lo + k))
+                        right.append(lo + near)
+                        cells[np.isin(cells, cells[near])] = cells[k]
+                elif (cells == cells[0]).all():
+                    break
+        x, y = np.concatenate(left or [a[:0]]), np.concatenate(right or [a[:0]])
+        if len(x):
+            found.append((x, y, np.full(len(x), length)))
+            cell = spanning(n, np.concatenate([own, x]), np.concatenate([cell, y]))
+    if not found:
+        return own[:0], own[:0], own[:0]
+    x, y, length = (np.concatenate(part) for part in zip(*found, strict=True))
+    return x, y, length
+
+
 def _near_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst): edges that span the likely links of every node."""
-    depth, loose = depth_for(threshold), threshold - 0.25
-    parts = F.array(*[
-        F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * DEPTH * t, 4 * depth)) for t in range(TREES)
-    ])
+    """(src, dst): edges that span the likely links of every subtree."""
+    floor, least = depth_for(threshold), (threshold - LOOSE) * TREES * DEPTH
+    wide = 4 * DEPTH
+    parts = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + wide * t, 4 * floor)) for t in range(TREES)])
     nodes = reps.select("rep", F.posexplode(parts).alias("tree", "prefix"))
     shape = nodes.groupBy("tree", "prefix").agg(
         F.count("*").alias("n"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"),
     ).where("n > 1")
-    #: nodes with the same members are compared once
+    #: subtrees with the same members are compared once
     once = shape.groupBy("n", "low", "sum").agg(F.min(F.struct("tree", "prefix")).alias("node")).select("node.*", "n")
     members = nodes.join(once, ["tree", "prefix"])
-    dealt = block_pairs(members, "n", "rep", BLOCK).join(reps.select("rep", "sig"), "rep")
+    dealt = block_pairs(members, "n", "rep", BLOCK).join(reps.select("rep", "sig"), "rep").withColumn("label", F.expr(f"substring(sig, 1 + {wide} * tree, {wide})"))
 
     def link(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = t.num_rows
-        sig, rep = fixed(t["sig"], np.uint32, n), t["rep"].to_numpy()
-        least = loose * sig.shape[1]
-        a, b = small_pairs(bounds)
-        left, right = [], []
-        for lo in range(0, len(a), 20_000):
-            p, q = a[lo : lo + 20_000], b[lo : lo + 20_000]
-            near = (sig[p] == sig[q]).sum(axis=1) >= least
-            left.append(p[near])
-            right.append(q[near])
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            for k in range(lo, hi, 64) if hi - lo > SMALL else ():
-                part = sig[k : min(k + 64, hi)]
-                agree = np.zeros((len(part), hi - lo), np.uint16)
-                for j in range(sig.shape[1]):
-                    agree += part[:, j, None] == sig[None, lo:hi, j]
-                p, q = np.nonzero(agree >= least)
-                up = p + k < q + lo
-                left.append(p[up] + k)
-                right.append(q[up] + lo)
-        root = spanning(n, np.concatenate(left or [a]), np.concatenate(right or [b]))
+        sig, labels, rep = fixed(t["sig"], np.uint32, n), fixed(t["label"], np.uint32, n), t["rep"].to_numpy()
+        a, b, _ = forest_links(labels, sig, bounds, least, floor)
+        root = spanning(n, a, b)
         some = root != np.arange(n)
         yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[root[some]])], names=["src", "dst"])
 
-    return map_groups(dealt, ["tree", "prefix", "cell_a", "cell_b"], "rep", ["sig"], link, "src long, dst long")
+    return map_groups(dealt, ["tree", "prefix", "cell_a", "cell_b"], "label", ["rep", "sig"], link, "src long, dst long")
 
 
 def exact_links(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -145,24 +180,26 @@ def exact_links(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, n
         cols, owner = (np.cumsum((count > 1) & (count < n)) - 1)[inverse[keep]], owner[keep]
         order = np.argsort(cols, kind="stable")
         cols, owner = cols[order], owner[order]
-        common, width = np.full((n, n), everywhere, np.float32), 2048
+        common, width = np.full((n, n), everywhere, np.int64), 2048
         for lo in range(0, int(cols[-1]) + 1 if len(cols) else 0, width):
             a, z = np.searchsorted(cols, [lo, lo + width])
             dense = np.zeros((n, width), np.float32)
             dense[owner[a:z], cols[a:z] - lo] = 1
-            common += dense @ dense.T
+            common += (dense @ dense.T).astype(np.int64)  # below 2**24, so exact
         x, y = np.nonzero(np.triu(common, 1))
-        both = common[x, y].astype(np.int64)
+        both = common[x, y]
     near = both >= threshold * (sizes[x] + sizes[y] - both) - 1e-9
     return x[near], y[near]
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
-    """doc_id, text_hash, class_id, n_links for every row of docs.
+    """doc_id, text_hash, class_id, n_links, class_key for every row of docs.
 
     n_links: other rows at the threshold or above. class_id: the smallest
-    doc_id that links reach.
+    doc_id that links reach. class_key: equal for the rows of a class, whatever
+    their ids; null for a text without words, which is alone.
     """
+    docs = docs.select("doc_id", "text")
     signed = cut(_signed(docs, words), "jaccard-sig")
     reps = cut(
         signed.where("set is not null").groupBy("set").agg(
@@ -207,7 +244,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Dat
     full = reps.select("rep", "set", "copies", "doc_id").join(linked, "rep", "left").select(
         "set", "doc_id", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    named = full.join(full.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("set", "class_id", "n_links")
+    named = full.join(full.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("set", "class_id", "n_links", F.col("component").alias("class_key"))
     return signed.select("doc_id", "text_hash", "set").join(named, "set", "left").select(
-        "doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_key",
     )

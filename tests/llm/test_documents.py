@@ -12,7 +12,9 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+
 from loomgraph.llm import bpe, class_lm, jaccard, langid, mixing, sharding, simhash, suffixes
+from loomgraph.operators import components
 
 
 def taken(df, *cols):
@@ -303,3 +305,44 @@ def test_jaccard(odd_docs, no_docs, monkeypatch, block):
 def test_depth_reaches_the_recall():
     d = jaccard.depth_for(0.8)
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+
+
+@pytest.mark.parametrize("small", [48, 3])
+def test_prefixes_are_shortened_as_far_as_needed(monkeypatch, small):
+    """Near copies meet under long prefixes, looser neighbours under shorter
+    ones, and the cells are those of all pairs of a subtree."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard.small_pairs, "__defaults__", (small,))
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, (6, 600), np.uint64)
+    sets = []
+    for k in range(240):
+        s = base[k % 6].copy()
+        some = rng.choice(600, [0, 6, 40, 70][k % 4], replace=False)
+        s[some] = rng.integers(0, 1 << 32, len(some), np.uint64)
+        sets.append(np.unique(s))
+    sig = np.stack([jaccard.signature(x) for x in sets])
+    least, floor, lengths = 0.63 * sig.shape[1], jaccard.depth_for(0.8), set()
+    for tree in range(4):
+        labels = sig[:, tree * jaccard.DEPTH : (tree + 1) * jaccard.DEPTH]
+        order = np.lexsort(labels.T[::-1])
+        labels, mine = labels[order], sig[order]
+        top = [tuple(x[:floor]) for x in labels]
+        bounds = np.array([0] + [k for k in range(1, 240) if top[k] != top[k - 1]] + [240])
+        x, y, length = jaccard.forest_links(labels, mine, bounds, least, floor)
+        lengths |= set(length.tolist())
+        p, q = np.triu_indices(240, 1)
+        ok = np.array([top[i] == top[j] for i, j in zip(p, q, strict=True)]) & ((mine[p] == mine[q]).sum(axis=1) >= least)
+        assert (components.spanning(240, x, y) == components.spanning(240, p[ok], q[ok])).all()
+        assert all((labels[i, :d] == labels[j, :d]).all() for i, j, d in zip(x, y, length, strict=True))
+    assert len(lengths) > 2 and max(lengths) == jaccard.DEPTH and min(lengths) >= floor
+
+
+def test_exact_links_count_whole_sets():
+    import numpy as np
+
+    many = [np.arange(k, 5000 + k, dtype=np.uint64) for k in (0, 500, 1500, 4999, 0, 556, 20, 9000)]
+    want = [(i, j) for i, j in itertools.combinations(range(8), 2) if len(set(many[i]) & set(many[j])) >= 0.8 * len(set(many[i]) | set(many[j]))]
+    assert list(zip(*map(list, jaccard.exact_links(many, 0.8)), strict=True)) == want

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import crosspoly, mincut
 
@@ -138,3 +139,27 @@ def test_repeated_and_null_ids_keep_their_rows(spark):
     rows = [(1, "a", [1.0, 0.0]), (1, "a", None), (1, "a", [0.0, 0.0]), (1, None, [1.0, 0.0]), (None, "a", [0.0, 1.0]), (None, "a", [float("nan"), 1.0])]
     got = crosspoly.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
     assert sorted((r.vec_id or 0, r.n_links) for r in got) == [(0, 0)] * 2 + [(1, 0)] * 4
+
+
+def test_stages_keep_columns_of_clashing_names(spark, odd_docs, no_docs):
+    import corpus_pipeline
+
+    names = ["score", "rejected", "lang_pred", "target", "whole", "size", "taken", "windows", "class_key", "text_hash", "_copy", "_id", "source_size"]
+    for docs in (odd_docs, no_docs):
+        wide = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in names])
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, wide, "")
+            assert got.columns == wide.columns, name
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in got.collect() for c in names), name
+
+
+def test_shared_ids_of_different_texts_stay(spark):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    line = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    a, b, c = line(60), line(60), line(60)
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, c), (None, c + " end"), (4, a), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got[0][1] in (c, c + " end") and got[1:] == sorted([(1, a), (1, b), (5, ""), (5, ""), (6, "")])
