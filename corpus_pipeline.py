@@ -4,12 +4,13 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame, which is written and read again before the next one.
 
 1. language: documents that the classifier rejects go;
-2. near_duplicates: one document of each group of 0.8 or more stays, the one of
-   the smallest doc_id; rows without a doc_id stay once for each text, unless a
-   row with an id stands for them;
+2. near_duplicates: one document of each group of 0.8 or more stays;
 3. repeats: passages of 200 bytes that occur twice are taken out of texts;
 4. mix: documents are taken, left or repeated by the mix of sources;
 5. tokens: token ids and what they decode to, as digests.
+
+All stages keep the columns of their input, whatever their names: columns that a
+stage doesn't read are renamed on the way in and named again on the way out.
 """
 
 from __future__ import annotations
@@ -30,36 +31,74 @@ from loomgraph.session import cut, table
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def _sheltered(docs: DataFrame, reads: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs) with docs's own columns, none of which clashes with what the
+    stage adds: only the columns that it reads keep their names in it."""
+    inside = [name if name in reads else f"_own_{k}" for k, name in enumerate(docs.columns)]
+    return stage(docs.toDF(*inside)).select(*inside).toDF(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the classifier rejects.
+
+    Null, empty and letterless texts are rejected; rows of equal text share
+    their fate, whatever their other columns; without labelled rows every
+    document is rejected; an empty table stays empty.
+    """
     model = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return identify(docs, model).where("not rejected").select(*docs.columns)
+    return _sheltered(docs, ("text",), lambda rows: identify(rows, model).where("not rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join(docs, threshold=0.8, words=5)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("own")).agg(F.min("text_hash").alias("_hash"))
-    keep = keep.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "_hash")
-    keyed = docs.withColumns({
-        "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_none": F.col("doc_id").isNull(), "_hash": F.xxhash64(F.coalesce("text", F.lit(""))),
-    })
-    return keyed.join(keep.hint("merge"), ["_id", "_none", "_hash"]).dropDuplicates(["_id", "_none", "_hash"]).select(*docs.columns)
+    """Keep one document of each class: that of the smallest doc_id, a null one
+    last, and of the smallest hash of its text among equal ids.
+
+    Classes are told apart by their texts, so documents that share an id but
+    not their text are judged each for itself. Null, empty and wordless texts
+    are classes of their own and stay, every row of them.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = jaccard_join(docs, threshold=0.8, words=5).where("class_key is not null")
+    first = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(-1)).alias("id"), "text_hash")).alias("first"))
+    keep = first.select(F.col("first.none").alias("_none"), F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+
+    def stage(rows: DataFrame) -> DataFrame:
+        wordy = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+        keys = ["_none", "_id", "_hash"]
+        keyed = rows.where(wordy).withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": text_hash})
+        one = keyed.join(keep.hint("merge"), keys).dropDuplicates(keys)
+        return one.select(*rows.columns).unionByName(rows.where(~wordy))
+
+    return _sheltered(docs, ("doc_id", "text"), stage)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = without_repeats(docs, length=200)
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+    """Take repeated passages of 200 bytes out of the texts; n_chars, where it
+    is a column, follows the text. Every row stays, with an empty text if all
+    of it repeats; null texts stay null."""
+    reads = ("doc_id", "text", "n_chars") if "n_chars" in docs.columns else ("doc_id", "text")
+
+    def stage(rows: DataFrame) -> DataFrame:
+        cleaned = without_repeats(rows, length=200)
+        return cleaned.withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType)) if "n_chars" in reads else cleaned
+
+    return _sheltered(docs, reads, stage)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mix(docs).where("taken > 0")
-    times = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
-    return taken.withColumn("_copy", F.explode(times)).select(*docs.columns)
+    """Rows that the mix takes, a row twice where it takes it twice. Texts of no
+    words are never taken; the null source is a source."""
+
+    def stage(rows: DataFrame) -> DataFrame:
+        taken = mix(rows).where("taken > 0")
+        return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+
+    return _sheltered(docs, ("doc_id", "text", "source"), stage)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_digests(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    """Digests of every row's token ids; a null text is empty."""
+    return token_digests(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
