@@ -26,6 +26,7 @@ repeat are predicted alike; labels never reach a prediction.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -68,6 +69,16 @@ def count_grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, counts[at]
 
 
+def _packed(at: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(at.astype(np.uint16).tobytes() + counts.astype(np.int32).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint16, n).astype(np.int32), np.frombuffer(raw, np.int32, n, 2 * n)
+
+
 def size_of(counts: np.ndarray) -> int:
     """Which power of two of grams a text has."""
     return min(SIZES - 1, int(counts.sum()).bit_length())
@@ -173,24 +184,24 @@ def learn(labelled: DataFrame, cells: int = CELLS) -> Centroids | None:
             for text, lang, h, back in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 raw = text.encode()
                 cuts = [raw[:n].decode(errors="ignore") for n in LENGTHS if n <= len(raw)] if back else [text]
-                sparse = list(count_grams(pa.array(cuts, pa.string())))
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(cuts), t) for x, t in ((lang, pa.string()), (h, pa.int64()), (back, pa.bool_()))] + [pa.array([x[k].astype(np.int32) for x in sparse], pa.list_(pa.int32())) for k in (0, 1)], names=["lang", "h", "aside", "at", "n"])
+                sparse = [_packed(*x) for x in count_grams(pa.array(cuts, pa.string()))]
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(cuts), t) for x, t in ((lang, pa.string()), (h, pa.int64()), (back, pa.bool_()))] + [pa.array(sparse, pa.binary())], names=["lang", "h", "aside", "grams"])
 
-    got = picked.select("text", "lang", "h", "aside").mapInArrow(grams, "lang string, h long, aside boolean, at array<int>, n array<int>").toArrow()
+    got = picked.select("text", "lang", "h", "aside").mapInArrow(grams, "lang string, h long, aside boolean, grams binary").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by([("lang", "ascending"), ("h", "ascending")])
     langs, back = np.array(got["lang"].to_pylist(), object), np.array(got["aside"].to_pylist(), bool)
-    at, n = got["at"].combine_chunks(), got["n"].combine_chunks()
-    ends = np.cumsum(pc.list_value_length(at).to_numpy(zero_copy_only=False))
-    vectors = list(zip(np.split(at.flatten().to_numpy(), ends[:-1]), np.split(n.flatten().to_numpy(), ends[:-1]), strict=True))
+    vectors = [_unpacked(x.as_py()) for x in got["grams"]]
     model = fit_centroids(list(langs[~back]), [v for v, held in zip(vectors, back, strict=True) if not held])
     model.learn_least(list(langs[back]), [v for v, held in zip(vectors, back, strict=True) if held])
     return model
 
 
 def identify(docs: DataFrame, model: Centroids | None, reject: float = REJECT) -> DataFrame:
-    """All columns of docs with lang_pred, score and rejected."""
+    """All columns of docs with lang_pred, score and rejected; columns of docs
+    that have these names give way."""
+    docs = docs.drop("lang_pred", "score", "rejected")
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # centroids * DIMS floats: fixed by parameters
     names = docs.columns

@@ -34,6 +34,7 @@ from ..session import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 17
+MARK = 64  # states of the knapsack between those that are kept
 
 
 def word_count(text) -> F.Column:
@@ -92,34 +93,46 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     if rest <= 0:
         return taken
     limit = (1 << (rest + 1)) - 1
-    states, items = [1], []
+    state, items, marks = 1, [], {0: 1}
     for i in order[::-1]:  # short lengths first: they reach most sums
         n, size, k = int(min(counts[i] - taken[i], rest // int(lengths[i]))), int(lengths[i]), 1
-        while n > 0 and not states[-1] >> rest & 1:
+        while n > 0 and not state >> rest & 1:
             k = min(k, n)
-            states.append((states[-1] | states[-1] << k * size) & limit)
+            state = (state | state << k * size) & limit
             items.append((i, k))
+            if len(items) % MARK == 0:
+                marks[len(items)] = state
             n, k = n - k, 2 * k
-        if states[-1] >> rest & 1:
+        if state >> rest & 1:
             break
-    at = states[-1].bit_length() - 1
-    for step in range(len(items), 0, -1):
-        if not states[step - 1] >> at & 1:
-            i, k = items[step - 1]
-            taken[i] += k
-            at -= k * int(lengths[i])
+    at = state.bit_length() - 1
+    for mark in sorted(marks, reverse=True):  # states between two marks are made again
+        states = [marks[mark]]
+        block = items[mark : mark + MARK]
+        for i, k in block[:-1]:
+            states.append((states[-1] | states[-1] << k * int(lengths[i])) & limit)
+        for (i, k), before in zip(reversed(block), reversed(states[: len(block)]), strict=True):
+            if not before >> at & 1:
+                taken[i] += k
+                at -= k * int(lengths[i])
     return taken
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, most: float = 2.0, seed: int = SEED, cells: int = 256) -> DataFrame:
-    """All columns of docs with size, source_size, target and taken (words)."""
-    spark = docs.sparkSession
-    sized = docs.withColumns({
-        "size": word_count(F.col("text")),
-        "mix_null": F.col("source").isNull(),
-        "mix_source": F.coalesce(F.col("source"), F.lit("")),
+def _keyed(docs: DataFrame, seed: int, cells: int) -> DataFrame:
+    """docs with each row's size, source, draw and hash cell."""
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    return docs.withColumns({
+        "size": word_count(F.col("text")), "mix_null": F.col("source").isNull(), "mix_source": F.coalesce(F.col("source"), F.lit("")),
+        "mix_draw": draw, "mix_cell": F.pmod(F.shiftrightunsigned(draw, 20), F.lit(cells)).cast("int"),
     })
-    shape = sized.groupBy("mix_source", "mix_null", "size").agg(F.count("*").alias("n"))
+
+
+def _taken(keyed: DataFrame, weights: tuple[float, ...], ratio: float, most: float) -> DataFrame:
+    """keyed rows with source_size, target and taken."""
+    spark = keyed.sparkSession
+    key = ["mix_source", "mix_null", "size"]
+    counted = cut(keyed.groupBy(*key, "mix_cell").agg(F.count("*").alias("n")), "mix-counts")
+    shape = counted.groupBy(*key).agg(F.sum("n").alias("n"))
     found = shape.groupBy("mix_source", "mix_null").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()
     found.sort(key=lambda r: (r.mix_null, r.mix_source))
     goal = targets([r.total for r in found], [weights[k % len(weights)] for k in range(len(found))], ratio, most)
@@ -149,24 +162,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.
         .applyInPandas(quotas, "mix_source string, mix_null boolean, size long, source_size long, target double, whole int, quota long"),
         "mix-quota",
     )
-    key = ["mix_source", "mix_null", "size"]
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    drawn = sized.withColumns({"mix_draw": draw, "mix_cell": F.pmod(F.shiftrightunsigned(draw, 20), F.lit(cells)).cast("int")})
     before = Window.partitionBy(*key).orderBy("mix_cell").rowsBetween(Window.unboundedPreceding, -1)
-    filled = (
-        drawn.groupBy(*key, "mix_cell").agg(F.count("*").alias("n")).join(quota, key)
-        .withColumn("room", F.col("quota") - F.coalesce(F.sum("n").over(before), F.lit(0)))
-    )
+    filled = counted.join(quota, key).withColumn("room", F.col("quota") - F.coalesce(F.sum("n").over(before), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy(*key, "mix_cell").orderBy("mix_draw", "doc_id"))
     return (
-        drawn.withColumn("mix_rank", rank)
+        keyed.withColumn("mix_rank", rank)
         .join(filled.drop("n", "quota").hint("merge"), [*key, "mix_cell"])
         .withColumn("taken", F.col("size") * (F.col("whole") + (F.col("mix_rank") <= F.col("room")).cast("int")))
         .drop("mix_source", "mix_null", "mix_draw", "mix_cell", "mix_rank", "room", "whole")
     )
 
 
-def mix_plan(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, size, source_size, target, taken; texts stay where they are."""
-    slim = docs.select("doc_id", "source", "text")
-    return mix(slim, **params).select("doc_id", "size", "source_size", "target", "taken")
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, most: float = 2.0, seed: int = SEED, cells: int = 256) -> DataFrame:
+    """All columns of docs with size, source_size, target and taken (words);
+    columns of docs that have these names give way."""
+    own = docs.drop("size", "source_size", "target", "taken")
+    return _taken(_keyed(own, seed, cells), weights, ratio, most)
+
+
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, most: float = 2.0, seed: int = SEED, cells: int = 256) -> DataFrame:
+    """doc_id, size, source_size, target, taken; texts are read once and stay
+    where they are."""
+    keyed = cut(_keyed(docs.select("doc_id", "source", "text"), seed, cells).drop("text", "source"), "mix-sizes")
+    return _taken(keyed, weights, ratio, most).select("doc_id", "size", "source_size", "target", "taken")

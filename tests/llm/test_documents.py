@@ -346,3 +346,18 @@ def test_exact_links_count_whole_sets():
     many = [np.arange(k, 5000 + k, dtype=np.uint64) for k in (0, 500, 1500, 4999, 0, 556, 20, 9000)]
     want = [(i, j) for i, j in itertools.combinations(range(8), 2) if len(set(many[i]) & set(many[j])) >= 0.8 * len(set(many[i]) | set(many[j]))]
     assert list(zip(*map(list, jaccard.exact_links(many, 0.8)), strict=True)) == want
+
+
+def test_marks_of_the_knapsack_change_nothing(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 200, 12))
+        counts = rng.integers(1, 9, len(lengths))
+        budget = int(rng.integers(1, 1 + int((lengths * counts).sum())))
+        found = []
+        for mark in (64, 3, 1):
+            monkeypatch.setattr(mixing, "MARK", mark)
+            found.append(mixing.fit_budget(lengths, counts, budget).tolist())
+        assert found[0] == found[1] == found[2]
