@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, spanning
-from ..session import cut
+from ..session import cut, discard
 from .grouped import SMALL, block_pairs, fixed, map_groups, small_pairs
 from .text import U, chunks, mix, shingles, strings, word_hashes
 
@@ -208,9 +208,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Dat
         ).select(F.xxhash64("set").alias("rep"), "set", "sig", "copies", "doc_id", F.col("one.text_hash").alias("one_hash"), F.expr("one.col1").alias("one_id")),
         "jaccard-rep",
     )
-    cells = connected_components(cut(_near_edges(reps, threshold), "jaccard-near")).withColumnRenamed("node", "rep")
+    keys, near = cut(signed.drop("sig"), "jaccard-key"), cut(_near_edges(reps, threshold), "jaccard-near")
+    slim = cut(reps.drop("sig"), "jaccard-slim")
+    for wide in (signed, reps):  # signatures are the bulk, and done with
+        discard(wide)
+    cells = connected_components(near).withColumnRenamed("node", "rep")
     sized = cells.join(cells.groupBy("component").agg(F.count("*").alias("n")), "component")
-    chosen = cut(sized.join(reps.select("rep", "copies", "one_id", "one_hash"), "rep"), "jaccard-cell")
+    chosen = cut(sized.join(slim.select("rep", "copies", "one_id", "one_hash"), "rep"), "jaccard-cell")
     #: one row of text for each member of a cell
     texts = (
         docs.select(F.coalesce("doc_id", F.lit(-1)).alias("one_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("one_hash"), "text")
@@ -241,10 +245,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Dat
     )
     groups = connected_components(verified, "rep", "root").withColumnRenamed("node", "rep")
     linked = groups.join(verified.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
-    full = reps.select("rep", "set", "copies", "doc_id").join(linked, "rep", "left").select(
+    full = slim.select("rep", "set", "copies", "doc_id").join(linked, "rep", "left").select(
         "set", "doc_id", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     named = full.join(full.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("set", "class_id", "n_links", F.col("component").alias("class_key"))
-    return signed.select("doc_id", "text_hash", "set").join(named, "set", "left").select(
+    return keys.select("doc_id", "text_hash", "set").join(named, "set", "left").select(
         "doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_key",
     )
