@@ -114,23 +114,78 @@ def test_class_model(odd_docs, no_docs):
     assert class_lm.class_scores(no_docs, train).count() == 0
 
 
-def test_class_model_is_a_distribution(spark):
-    """Probabilities of all words after a context, with one unknown word for
-    each class, sum to 1."""
-    df = spark.createDataFrame([(k, f"a{k % 5} b{k % 3} a{k % 4}") for k in range(60)], "doc_id long, text string")
-    words = sorted({w for r in df.collect() for w in r.text.split()})
-    unknown = []
-    types = class_lm.Types([w.encode() for w in words], {w.encode(): 1 for w in words} | {class_lm.END: 1})
-    for k in range(20000):  # an unseen word for every bucket of endings
-        w = f"zz{k}"
-        if types[w.encode()] not in [types[u.encode()] for u in unknown]:
-            unknown.append(w)
-        if len(unknown) > 300:
-            break
-    probe = spark.createDataFrame([(1000 + k, w) for k, w in enumerate(words)] + [(5000, "")], "doc_id long, text string")
-    both = df.unionByName(probe)
-    scores = {r.doc_id: r.score for r in class_lm.class_scores(both, F.col("doc_id") < 1000).collect()}
-    assert sum(10 ** scores[1000 + k] for k in range(len(words))) < 1 and 0 < 10 ** scores[5000] < 1
+def scores_by_brute_force(texts, train, class_of, many):
+    """log10 probabilities under class bigrams, from the classes alone."""
+    tokens, words, moves, count = Counter(), Counter(), Counter(), Counter()
+    for text, learn in zip(texts, train, strict=True):
+        if learn:
+            ws = text.lower().split() + [None]
+            count.update(ws)
+            path = [many, *(class_of[w] for w in ws)]
+            moves.update(itertools.pairwise(path))
+    for w, n in count.items():
+        tokens[class_of[w]] += n
+        words[class_of[w]] += 1
+    total, into, out = sum(moves.values()), Counter(), Counter()
+    for (x, y), n in moves.items():
+        out[x] += n
+        into[y] += n
+    found = []
+    for text in texts:
+        path, score = many, 0.0
+        for w in text.lower().split() + [None]:
+            c = class_of[w]
+            share = (into[c] + 1) / (total + many + 1)
+            score += math.log10((moves[path, c] + class_lm.KAPPA * share) / (out[path] + class_lm.KAPPA))
+            score += math.log10((count[w] + class_lm.DELTA) / (tokens[c] + class_lm.DELTA * (words[c] + 1)))
+            path = c
+        found.append(score)
+    return found
+
+
+def test_class_scores_by_brute_force(spark, monkeypatch):
+    """All frequent words: the classes are those of the exchange, made here
+    from counts of plain Python; scores follow from them."""
+    import numpy as np
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["Red", "blue", "tall"]) + " " + rng.choice(["cat", "dog", "tree"]) for _ in range(rng.randrange(0, 6))) for _ in range(70)]
+    train = [k % 3 > 0 for k in range(70)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(class_lm, "CLASSES", 3)
+    got = {r.doc_id: r.score for r in class_lm.class_scores(df, F.col("doc_id") % 3 > 0).collect()}
+    vocab = sorted({w for t in texts for w in t.lower().split()})
+    hashes = {w: next(class_lm.hashed(__import__("pyarrow").array([w])))[2][0] for w in vocab}
+    seen = Counter(w for t, x in zip(texts, train, strict=True) if x for w in t.lower().split())
+    head = sorted(seen, key=lambda w: (-seen[w], hashes[w]))
+    types = {None: 0} | {w: 1 + k for k, w in enumerate(head)}
+    many = class_lm.class_count(len(head) + 1)
+    classes = np.arange(1 + len(head)) % many
+    classes[0] = many
+
+    def around(classes):
+        left, right = (np.zeros((len(classes), many + 1), int) for _ in range(2))
+        for t, x in zip(texts, train, strict=True):
+            if x:
+                path = [0, *(types[w] for w in t.lower().split()), 0]
+                for a, b in itertools.pairwise(path):
+                    left[b, classes[a]] += 1
+                    right[a, classes[b]] += 1
+        return left, right
+
+    for _ in range(class_lm.PASSES):
+        classes = class_lm.exchange(*around(classes), classes)
+    want = scores_by_brute_force(texts, train, {w: int(classes[k]) for w, k in types.items()}, many)
+    assert all(math.isclose(got[k], want[k], abs_tol=1e-6) for k in range(70))
+
+
+def test_class_model_beats_the_base(spark):
+    """Held-out texts of regular sentences are likelier than under the base."""
+    rng = random.Random(11)
+    kinds = [[f"{p}{k}" for k in range(30)] for p in ("the", "cat", "ran", "far")]
+    rows = [(k, " ".join(rng.choice(ws) for _ in range(5) for ws in kinds)) for k in range(600)]
+    got = class_lm.class_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 > 0).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert 10 ** (-got.s / got.n) < 0.4 * 10 ** (-got.b / got.n)
 
 
 def test_rare_words_go_by_their_contexts(spark, monkeypatch):
@@ -144,7 +199,7 @@ def test_rare_words_go_by_their_contexts(spark, monkeypatch):
     df = spark.createDataFrame(rows + probe, "doc_id long, text string")
     monkeypatch.setattr(class_lm, "HEAD_SHIFT", 6)
     found = []
-    for shift in (20, 6):
+    for shift in (18, 6):
         monkeypatch.setattr(class_lm, "COMMON_SHIFT", shift)
         got = {r.doc_id: r.score for r in class_lm.class_scores(df, F.col("doc_id") < 1000).collect()}
         assert got[1000] > got[1001] + 1
