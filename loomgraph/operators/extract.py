@@ -1,8 +1,8 @@
 """Entities of source files: functions, imports, exports, calls, entry hints.
 
 One Arrow pass turns (file, lang, text) into nested nodes; child relations are
-exploded from it. Languages are tables of line rules; JavaScript is read by
-regular expressions as well, so all nodes are heuristic and earn half credit.
+exploded from it. JavaScript is read by regular expressions, other languages by
+their declarations, so all nodes are heuristic and earn half credit.
 Extraction never fails: a file that can't be read is a node that isn't parsed.
 """
 
@@ -16,113 +16,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\W\d]\w*"
+from .declarations import declarations
+
 SCHEMA = (
     "file string, lang string, parser_kind string, parsed boolean, parse_errors int, loc int, module_type string, var_count int, "
     "functions array<struct<name:string,exported:boolean,is_async:boolean,line:int,end_line:int,params:int,receiver:string,shape_hash:string,calls:array<string>>>, "
     "imports array<struct<source:string,names:array<string>,type_only:boolean>>, exports array<string>, hints array<struct<kind:string,detail:string>>"
 )
 
-#: per language: (what, pattern); the first that matches a line counts
-RULES: dict[str, list[tuple[str, re.Pattern]]] = {
-    "python": [
-        ("def", re.compile(rf"(?P<indent>\s*)(?P<async>async\s+)?def\s+(?P<name>{WORD})\s*\(")),
-        ("type", re.compile(rf"(?P<indent>\s*)class\s+(?P<name>{WORD})\b")),
-        ("from", re.compile(r"\s*from\s+(?P<source>\.*[\w.]*)\s+import\s+(?P<names>.+)")),
-        ("modules", re.compile(r"\s*import\s+(?P<source>[\w.]+(?:\s*,\s*[\w.]+)*)")),
-        ("main", re.compile(r"if\s+__name__\s*==\s*[\"']__main__[\"']")),
-    ],
-    "go": [
-        ("import", re.compile(r"import\s+(?:\w+\s+)?\"(?P<source>[^\"]+)\"")),
-        ("def", re.compile(r"func\s+(?:\([^)]*\)\s+)?(?P<name>[A-Za-z_]\w*)\s*[(\[]")),
-    ],
-    "rust": [
-        ("mod", re.compile(r"\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?P<source>[A-Za-z_]\w*)\s*;")),
-        ("import", re.compile(r"\s*(?:pub(?:\([^)]*\))?\s+)?use\s+(?P<source>(?:crate|super|self)(?:::[A-Za-z_]\w*)+)")),
-        ("def", re.compile(r"\s*(?P<pub>pub(?:\([^)]*\))?\s+)?(?P<async>async\s+)?(?:unsafe\s+)?fn\s+(?P<name>[A-Za-z_]\w*)")),
-    ],
-    "ruby": [
-        ("near", re.compile(r"\s*require_relative\s+[\"'](?P<source>[^\"']+)[\"']")),
-        ("import", re.compile(r"\s*require\s+[\"'](?P<source>[^\"']+)[\"']")),
-        ("def", re.compile(rf"\s*def\s+(?:self\.)?(?P<name>{WORD}[?!=]?)")),
-        ("type", re.compile(rf"\s*(?:class|module)\s+(?P<name>{WORD})")),
-        ("main", re.compile(r"if\s+__FILE__\s*==\s*\$(?:0|PROGRAM_NAME)")),
-    ],
-    "java": [
-        ("import", re.compile(r"\s*import\s+(?:static\s+)?(?P<source>[\w.]+)\s*;")),
-        ("type", re.compile(r"\s*(?:public\s+)?(?:final\s+|abstract\s+)?(?:class|interface|enum|record)\s+(?P<name>\w+)")),
-        ("def", re.compile(r"\s*(?P<access>public|protected|private)\s+(?:static\s+)?(?:final\s+)?[\w<>\[\],\s.]+?\s+(?P<name>\w+)\s*\(")),
-    ],
-    "php": [
-        ("import", re.compile(r".*?\b(?:require|include)(?:_once)?\s*\(?\s*(?P<dir>__DIR__\s*\.\s*)?[\"']/?(?P<source>[^\"']+\.php)[\"']")),
-        ("def", re.compile(rf"\s*(?:(?P<access>public|protected|private)\s+)?(?:static\s+)?function\s+(?P<name>{WORD})\s*\(")),
-        ("type", re.compile(rf"\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(?P<name>{WORD})")),
-    ],
-}
-_MAIN_KIND = {"python": "python-main-guard", "ruby": "ruby-main-guard"}
-
-
 def _function(name: str, exported: bool, line: int, is_async: bool = False, **more) -> dict:
     return {"name": name, "exported": exported, "is_async": is_async, "line": line, "end_line": None, "params": 0, "receiver": None, "shape_hash": None, "calls": []} | more
 
 
-def _lines(lang: str, file: str, lines: list[str]) -> dict:
-    """Functions, imports, exports and hints by the rules of a language."""
-    out: dict[str, list] = {"functions": [], "imports": [], "exports": [], "hints": []}
-    add = lambda source, *names: out["imports"].append({"source": source, "names": list(names), "type_only": False})
-    block = main_package = False
-    for n, line in enumerate(lines, 1):
-        if lang == "go":
-            main_package = main_package or re.match(r"package\s+main\b", line) is not None
-            if block:
-                block = re.match(r"\s*\)", line) is None
-                if block and (m := re.match(r"\s*(?:\w+\s+)?\"([^\"]+)\"", line)):
-                    add(m[1], m[1].split("/")[-1])
-                continue
-            if re.match(r"import\s*\(", line):
-                block = True
-                continue
-        for what, pattern in RULES[lang]:
-            if not (m := pattern.match(line)):
-                continue
-            g = m.groupdict()
-            if what == "def":
-                name = g["name"]
-                if lang == "java" and name in ("if", "for", "while", "switch", "catch", "return", "new"):
-                    continue
-                shown = {"python": not g.get("indent") and not name.startswith("_"), "go": name[:1].isupper() and name[:1].isascii(), "rust": bool(g.get("pub")), "ruby": True, "java": g.get("access") == "public", "php": g.get("access") not in ("private", "protected")}[lang]
-                out["functions"].append(_function(name, shown, n, bool(g.get("async"))))
-                if shown:
-                    out["exports"].append(name)
-                if name == "main" and (lang == "rust" and re.search(r"(^|/)main\.rs$", file) or lang == "java" and re.search(r"public\s+static\s+void\s+main\s*\(", line)):
-                    out["hints"].append({"kind": f"{lang}-main", "detail": f"main at line {n}"})
-            elif what == "type":
-                if lang != "python" or not g["indent"] and not g["name"].startswith("_"):
-                    out["exports"].append(g["name"])
-            elif what == "from":
-                names = [re.split(r"\s+as\s+", x.strip())[0] for x in g["names"].split(",")]
-                add(g["source"], *[x for x in names if re.fullmatch(r"[\w*]+", x)])
-            elif what == "modules":
-                for mod in g["source"].split(","):
-                    add(mod.strip(), mod.strip().split(".")[0])
-            elif what == "mod":
-                add(f"mod:{g['source']}", g["source"])
-            elif what == "near":
-                add(f"./{g['source']}")
-            elif what == "main":
-                out["hints"].append({"kind": _MAIN_KIND[lang], "detail": f"main guard at line {n}"})
-            elif lang == "php":
-                add(f"./{g['source']}" if g["dir"] else g["source"])
-            elif lang == "ruby":
-                add(g["source"])
-            else:
-                add(g["source"], re.split(r"::|[./]", g["source"])[-1])
-            break
-    if lang == "go" and main_package and any(f["name"] == "main" for f in out["functions"]):
-        out["hints"].append({"kind": "go-main", "detail": "package main with func main()"})
-    if lang in ("ruby", "java", "php"):
-        out["exports"] = list(dict.fromkeys(out["exports"]))
-    return out
+def _declared(lang: str, file: str, text: str) -> dict:
+    """Functions, imports, exports and hints of a source in a line-oriented language."""
+    found = declarations(lang, file, text)
+    return {
+        "functions": [_function(name, shown, line, is_async) for name, shown, is_async, line in found.functions],
+        "imports": [{"source": source, "names": names, "type_only": False} for source, names in found.imports],
+        "exports": found.exports, "hints": [{"kind": kind, "detail": detail} for kind, detail in found.hints],
+    }
 
 
 _JS_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
@@ -223,7 +136,7 @@ def extract_file(file: str, lang: str | None, text: str | None) -> dict:
     lines = re.split(r"\r?\n", text)
     node["loc"] = len(lines)
     try:
-        node |= _javascript(text) if lang == "js" else _lines(lang, file, lines)
+        node |= _javascript(text) if lang == "js" else _declared(lang, file, text)
         node["parsed"] = True
     except (KeyError, ValueError, IndexError, RecursionError):
         return node
@@ -259,11 +172,40 @@ def exports_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("file", F.explode("exports").alias("name"))
 
 
+def _after_environment(text) -> F.Column:
+    """What follows each mention of the environment object, and what precedes."""
+    return F.split(text, "\\bprocess\\.env\\b")
+
+
 def env_reads(files: DataFrame) -> DataFrame:
-    """(key, n, files) of environment reads in JavaScript sources."""
-    patterns = ("\\bprocess\\.env\\.([A-Z_][A-Z0-9_]*)\\b", "\\bprocess\\.env\\[['\"]([A-Z_][A-Z0-9_]*)['\"]\\]")
-    keys = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns])
-    grouped = F.regexp_extract_all("text", F.lit("\\b(?:const|let|var)\\s*\\{([^}]+)\\}\\s*=\\s*process\\.env\\b"), F.lit(1))
-    named = F.filter(F.transform(F.split(F.array_join(grouped, ","), ","), lambda x: F.regexp_extract(x, "^\\s*([A-Z_][A-Z0-9_]*)", 1)), lambda x: x != "")
-    hits = files.where(F.contains("text", F.lit("process.env"))).select("file", F.explode(F.concat(keys, named)).alias("key"))
+    """(key, n, files) of environment reads in JavaScript sources: by member, by
+    literal subscript, and by taking the object apart."""
+    name = "[A-Z_][A-Z0-9_]*"
+    parts = files.where(F.contains("text", F.lit("process.env"))).select("file", _after_environment(F.col("text")).alias("parts"))
+    member = F.transform(F.slice("parts", 2, 1 << 30), lambda x: F.coalesce(F.nullif(F.regexp_extract(x, f"^\\.({name})(?!\\w)", 1), F.lit("")), F.regexp_extract(x, f"^\\['({name})'\\]", 1)))
+    double = F.transform(F.slice("parts", 2, 1 << 30), lambda x: F.regexp_extract(x, f"^\\[\"({name})\"\\]", 1))
+    #: a part that ends in "{...} =" takes keys out by name
+    apart = F.transform("parts", lambda x: F.regexp_extract(x, "\\{([^{}]*)\\}\\s*=\\s*$", 1))
+    taken = F.transform(F.split(F.array_join(F.filter(F.slice(apart, 1, F.size("parts") - 1), lambda x: x != ""), ","), ","), lambda x: F.trim(F.regexp_replace(x, "[:=].*$", "")))
+    keys = F.filter(F.concat(member, double, taken), lambda x: x.rlike(f"^{name}$"))
+    hits = parts.select("file", F.explode(keys).alias("key"))
     return hits.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("file")).alias("files"))
+
+
+def dynamic_env_reads(files: DataFrame) -> DataFrame:
+    """(file, n): reads of the environment by a subscript that is no literal."""
+    parts = files.where(F.contains("text", F.lit("process.env"))).select("file", _after_environment(F.col("text")).alias("parts"))
+    counted = parts.select("file", F.size(F.filter(F.slice("parts", 2, 1 << 30), lambda x: x.rlike("^\\[[^'\"\\]]"))).alias("n"))
+    return counted.where("n > 0")
+
+
+#: fixed values: method decorators that declare a route
+ROUTE_DECORATORS = ("Get", "Post", "Put", "Delete", "Patch", "Options", "Head", "All")
+
+
+def decorator_routes(files: DataFrame) -> DataFrame:
+    """(file, decorator, method) of route decorators on methods: the decorator,
+    further decorators and modifiers, then the method's name."""
+    tag = F.regexp_extract_all("text", F.lit(f"@(?:{'|'.join(ROUTE_DECORATORS)})\\s*\\([^)]*\\)(?:\\s*@\\w+(?:\\([^)]*\\))?)*\\s*(?:(?:public|private|protected|static|async)\\s+)*\\w+\\s*\\("), F.lit(0))
+    hits = files.where((F.col("lang") == "js") & F.contains("text", F.lit("@"))).select("file", F.explode(tag).alias("hit"))
+    return hits.select("file", F.regexp_extract("hit", "^@(\\w+)", 1).alias("decorator"), F.regexp_extract("hit", "(\\w+)\\s*\\($", 1).alias("method"))

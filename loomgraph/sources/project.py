@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension, glob_regex
 
+#: fixed values: extensions by language, and of languages that are known but not read
 LANGUAGES = {
     ".js": "js", ".jsx": "js", ".mjs": "js", ".cjs": "js", ".ts": "js", ".tsx": "js", ".mts": "js", ".cts": "js",
     ".py": "python", ".go": "go", ".rs": "rust", ".rb": "ruby", ".java": "java", ".php": "php",
@@ -103,21 +104,41 @@ def manifest(rows: DataFrame, name: str = "package.json") -> dict:
     return read_jsonc(got.text if got else None)
 
 
+def tag_attributes(rows: DataFrame, tag: str) -> DataFrame:
+    """(file, text, hit, attributes) of every opening tag of a kind: the tag as
+    written and its attributes by lower-case name, the first of a name."""
+    opening = F.regexp_extract_all("text", F.lit(f"(?i)<{tag}(?:\\s+(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)?>"), F.lit(0))
+    hits = rows.select("file", "text", F.explode(opening).alias("hit"))
+    one = "([^\\s=\"'<>/]+)\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
+    names = F.transform(F.regexp_extract_all("hit", F.lit(one), F.lit(1)), F.lower)
+    values = F.transform(F.regexp_extract_all("hit", F.lit(one), F.lit(2)), lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
+    pairs = F.arrays_zip(names.alias("name"), values.alias("value"))
+    first = F.filter(pairs, lambda x, k: F.array_position(names, x["name"]) == k + 1)
+    return hits.select("file", "text", "hit", F.map_from_entries(first).alias("attributes"))
+
+
+def _is_external(src) -> F.Column:
+    """An address with a scheme, or of another host."""
+    scheme = F.split_part(src, F.lit(":"), F.lit(1))
+    return src.startswith("//") | (F.contains(src, F.lit(":")) & scheme.rlike("^[A-Za-z][A-Za-z0-9+.-]*$"))
+
+
 def module_scripts(rows: DataFrame) -> DataFrame:
     """(html, src) of module scripts in the root's pages, no external ones."""
-    tags = rows.where(F.col("file").rlike("^[^/]+\\.html$")).select(F.col("file").alias("html"), F.explode(F.regexp_extract_all("text", F.lit("(?i)<script\\b([^>]*)>"), F.lit(1))).alias("attrs"))
-    src = F.regexp_extract("attrs", "(?i)\\bsrc\\s*=\\s*[\"']([^\"']+)[\"']", 1)
-    kind = F.lower(F.regexp_extract("attrs", "(?i)\\btype\\s*=\\s*[\"']([^\"']+)[\"']", 1))
-    return tags.where(kind == "module").select("html", src.alias("src")).where("src <> ''").where(~F.col("src").rlike("(?i)^([a-z]+:)?//"))
+    pages = rows.where(~F.contains("file", F.lit("/")) & F.col("file").endswith(".html"))
+    src = F.col("attributes")["src"]
+    found = tag_attributes(pages, "script").where(F.lower(F.col("attributes")["type"]) == "module")
+    return found.select(F.col("file").alias("html"), src.alias("src")).where("src <> ''").where(~_is_external(F.col("src")))
 
 
 def script_references(rows: DataFrame) -> DataFrame:
     """(html, src, line) of relative script sources in any page."""
-    tag = "(?i)<script\\b[^>]*?\\bsrc\\s*=\\s*[\"']([^\"']+)[\"'][^>]*>"
-    pages = rows.where(F.lower("file").rlike("\\.html?$"))
-    hits = pages.select(F.col("file").alias("html"), "text", F.explode(F.regexp_extract_all("text", F.lit(tag), F.lit(0))).alias("hit")).withColumn("src", F.regexp_replace(F.regexp_extract("hit", tag, 1), "[?#].*$", ""))
+    name = F.lower("file")
+    pages = rows.where(name.endswith(".html") | name.endswith(".htm"))
+    src = F.regexp_replace(F.col("attributes")["src"], "[?#].*$", "")
     line = F.size(F.split(F.expr("substring_index(text, hit, 1)"), "\n"))
-    return hits.where("src <> ''").where(~F.col("src").rlike("(?i)^(/|[a-z][a-z0-9+.-]*:)")).select("html", "src", line.alias("line"))
+    found = tag_attributes(pages, "script").select(F.col("file").alias("html"), src.alias("src"), line.alias("line"))
+    return found.where("src <> ''").where(~F.col("src").startswith("/") & ~_is_external(F.col("src")))
 
 
 def read_reports(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
