@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_test_file
 from .components import connected_components
 from .graph import blast_radius
+from .ordering import greedy_fill
+from .score import simulate
 
 SEVERITY_SCORE = {"high": 0.9, "medium": 0.6, "low": 0.3, "info": 0.1}
 TEST_WEIGHT = 0.15
@@ -72,6 +74,67 @@ def impact(findings: DataFrame, repo_files: int) -> DataFrame:
     return made.select("id", *[F.round(c, 3).alias(a) for c, a in (("reach", "reach"), ("safety", "safety"), ("impact", "impact"))], F.round(F.col("impact") * (0.5 + 0.5 * F.col("safety")), 3).alias("priority"))
 
 
+#: fixed values: calls that the runtime has deprecated
+DEPRECATED_CALLS = ("url.parse", "fs.exists", "util.isArray", "querystring.parse")
+
+
+def code_patterns(nodes: DataFrame, scope: DataFrame | None = None, generated: DataFrame | None = None, package_type: str | None = None) -> DataFrame:
+    """(rule, occurrences, n_files, first_file) of patterns worth modernising.
+
+    nodes: file, var_count, module_type, functions (with calls). Files out of
+    scope and generated ones don't count. Module ambiguity is a finding only in
+    a package of type module, and never for .cjs, which is explicit.
+    """
+    if scope is not None:
+        nodes = nodes.join(scope.select("file").distinct(), "file", "left_semi")
+    if generated is not None:
+        nodes = nodes.join(generated.select("file").distinct(), "file", "left_anti")
+    calls = F.flatten(F.transform("functions", lambda f: f["calls"]))
+    ambiguous = (F.lit(package_type) == "module") & (F.col("module_type") == "script") & ~F.col("file").endswith(".cjs")
+    counts = {
+        "var-declarations": F.col("var_count"),
+        "promise-then-chains": F.size(F.filter(calls, lambda c: c.endswith(".then") | c.endswith(".catch"))),
+        "deprecated-node-api": F.size(F.filter(calls, lambda c: c.isin(*DEPRECATED_CALLS))),
+        "cjs-in-esm-project": F.coalesce(ambiguous, F.lit(False)).cast("int"),
+    }
+    rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.coalesce(n, F.lit(0)).cast("long").alias("n")) for rule, n in counts.items()])
+    hits = nodes.select("file", F.explode(rows).alias("r")).select("file", "r.rule", "r.n").where("n > 0")
+    return hits.groupBy("rule").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_files"), F.min("file").alias("first_file"))
+
+
+def scan_scope(mode: str, workflow_files: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Files whose code a scan looks at: none if light, those of the three
+    largest workflows if medium, all workflows' and orphans if heavy."""
+    if mode == "light":
+        return workflow_files.select("file").limit(0)
+    if mode == "heavy":
+        return workflow_files.select("file").union(orphans.select("file")).distinct()
+    sizes = workflow_files.groupBy("workflow").agg(F.countDistinct("file").alias("n"))
+    largest = sizes.orderBy(F.col("n").desc(), "workflow").limit(3)
+    return workflow_files.join(largest.select("workflow"), "workflow", "left_semi").select("file").distinct()
+
+
+def modernization_scan(mode: str, dependencies: DataFrame, nodes: DataFrame, workflow_files: DataFrame, orphans: DataFrame, generated: DataFrame, package_type: str | None = None, architecture: DataFrame | None = None) -> DataFrame:
+    """(tier, rule, occurrences): dependencies in every mode, code patterns from
+    medium on, architecture findings (rule) in a heavy scan."""
+    found = legacy_dependencies(dependencies).groupBy(F.concat(F.lit("legacy-"), "kind").alias("rule")).agg(F.count("*").alias("occurrences")).select(F.lit("dependency").alias("tier"), "rule", "occurrences")
+    if mode in ("medium", "heavy"):
+        patterns = code_patterns(nodes, scan_scope(mode, workflow_files, orphans), generated, package_type)
+        found = found.unionByName(patterns.select(F.lit("pattern").alias("tier"), "rule", "occurrences"))
+    if mode == "heavy" and architecture is not None:
+        found = found.unionByName(architecture.groupBy("rule").agg(F.count("*").alias("occurrences")).select(F.lit("architecture").alias("tier"), "rule", "occurrences"))
+    return found
+
+
+def duplicate_rule(functions: DataFrame, generated: DataFrame | None = None) -> DataFrame:
+    """duplicate-functions findings (rule, subject, certainty): functions of one
+    shape, generated files left out."""
+    if generated is not None:
+        functions = functions.join(generated.select("file").distinct(), "file", "left_anti")
+    groups = duplicate_groups(functions)
+    return groups.select(F.lit("duplicate-functions").alias("rule"), F.concat_ws(" ", F.col("n").cast("string"), F.lit("functions in"), F.array_join("files", ", ")).alias("subject"), F.lit(1.0).alias("certainty"))
+
+
 def architecture_rules(workflows: DataFrame, orphans: DataFrame, files: int, rate: float, cycles: DataFrame) -> DataFrame:
     """monolith, orphan-cluster, fragile and cycle findings.
 
@@ -104,6 +167,11 @@ def solutions(findings: DataFrame, workflow_files: DataFrame, edges: DataFrame,
     )
 
 
+def top_solutions(clusters: DataFrame, k: int = 10) -> DataFrame:
+    """The first k clusters of :func:`solutions` by priority."""
+    return clusters.orderBy(F.col("priority").desc(), "cluster").limit(k)
+
+
 def hotspots(calls: DataFrame, workflow_files: DataFrame) -> DataFrame:
     """Files by unresolved and dynamic calls, times the workflows they are in.
 
@@ -136,6 +204,26 @@ def plan_candidates(signals: DataFrame, sizes: DataFrame) -> DataFrame:
     w = Window.partitionBy("workflow")
     weight = F.sum(F.when(F.col("value").isNotNull(), F.col("weight"))).over(w)
     gain = F.when(F.col("value").isNotNull() & (F.col("value") < 1), (1 - F.col("value")) * F.col("weight") / weight)
-    share = F.col("n_files") / F.sum("n_files").over(Window.partitionBy(F.lit(1)))
-    shared = sizes.withColumn("share", share)
+    total = sizes.agg(F.sum("n_files").alias("total"))  # one row
+    shared = sizes.crossJoin(F.broadcast(total)).withColumn("share", F.col("n_files") / F.col("total"))
     return signals.withColumn("gain", gain).join(shared, "workflow").where("gain > 0").select("workflow", "signal", (F.col("gain") * F.col("share") * 0.9).alias("lift"))
+
+
+#: risks in order
+RISKS = ("low", "medium", "high")
+
+
+def plan_improvements(tasks: DataFrame, signals: DataFrame, budget: float, risk: str = "low") -> tuple[DataFrame, DataFrame]:
+    """(tasks taken, scores before and after them together).
+
+    tasks: id, kind, workflow, signal, new_value, effort, risk, lift. Tasks of
+    more risk or without lift fall out; the rest are taken by lift per effort
+    while they fit. What they reach together is simulated once: a signal that
+    several tasks raise takes the largest of their values.
+    """
+    allowed = RISKS[: RISKS.index(risk) + 1]
+    eligible = tasks.where(F.col("risk").isin(*allowed) & (F.col("lift") > 0)).withColumn("plan", F.lit(0))
+    taken = greedy_fill(eligible, budget, ["plan"]).select("id")
+    chosen = tasks.join(taken, "id", "left_semi")
+    overrides = chosen.groupBy("workflow", "signal").agg(F.max("new_value").alias("new_value"))
+    return chosen, simulate(signals, overrides)

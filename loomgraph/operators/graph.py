@@ -1,33 +1,46 @@
 """Reachability, cycles, shortest chains and degrees over edge tables.
 
-Edges are DataFrames (src, dst). Loops are frontier joins; every round is
-written to the shared folder, so lineage stays flat and lost executors cost a
-round. Loops stop on an empty frontier and raise at their bound instead of
-returning a part.
+Edges are DataFrames (src, dst). Loops are frontier joins over edges that are
+written once; every round is written to the shared folder, so lineage stays flat
+and lost executors cost a round. Loops go on until nothing is left to do, however
+long a path is; a bound, where one is given, raises instead of returning a part.
+Graphs of at most SMALL edges are solved by one task, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-MAX_ROUNDS = 200
+SMALL = 1 << 18
+
+
+def _rounds(most: int | None) -> Iterator[int]:
+    for k in count(1):
+        if most is not None and k > most:
+            raise RuntimeError(f"not done after {most} rounds")
+        yield k
 
 
-def reach(edges: DataFrame, starts: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> DataFrame:
     """(start, node, depth) for all nodes reachable from each start, itself at 0."""
-    steps = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    steps = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "reach-edges")
     frontier = cut(starts.select(F.col("start"), F.col("start").alias("node")).where("start is not null").distinct().withColumn("depth", F.lit(0)), "reach")
-    seen = frontier
-    for depth in range(1, rounds + 1):
+    seen, parts = frontier, 1
+    for depth in _rounds(rounds):
         near = frontier.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         frontier = cut(near.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"closure not done after {rounds} rounds")
+        seen, parts = seen.unionByName(frontier), parts + 1
+        if parts > 8:  # a long chain of unions is planned again in every round
+            seen, parts = cut(seen, "reach-seen"), 1
 
 
 def uncovered(nodes: DataFrame, reached: DataFrame) -> DataFrame:
@@ -35,58 +48,147 @@ def uncovered(nodes: DataFrame, reached: DataFrame) -> DataFrame:
     return nodes.join(reached.select("node").distinct(), "node", "left_anti")
 
 
-def cycles(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+def _in_one_task(edges: DataFrame, solve, schema: str) -> DataFrame:
+    """solve(rows of the edges), a generator of rows, in a single task."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        found = list(solve(rows))
+        yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in found], schema=arrow)
+
+    return edges.coalesce(1).mapInArrow(run, schema)
+
+
+def strong_components(rows: list[tuple]) -> Iterator[tuple]:
+    """(member, label) of strongly connected sets; the label is the smallest
+    member. Two passes over the graph, without recursion: an order of leaving,
+    then sets of the reverse graph in that order."""
+    out: dict = {}
+    back: dict = {}
+    for a, b in rows:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+        out.setdefault(b, [])
+        back.setdefault(a, [])
+    left, seen = [], set()
+    for start in out:
+        if start in seen:
+            continue
+        seen.add(start)
+        todo = [(start, iter(out[start]))]
+        while todo:
+            node, rest = todo[-1]
+            step = next((x for x in rest if x not in seen), None)
+            if step is None:
+                left.append(node)
+                todo.pop()
+            else:
+                seen.add(step)
+                todo.append((step, iter(out[step])))
+    done: set = set()
+    for start in reversed(left):
+        if start in done:
+            continue
+        done.add(start)
+        members, todo = [], [start]
+        while todo:
+            node = todo.pop()
+            members.append(node)
+            more = [x for x in back[node] if x not in done]
+            done.update(more)
+            todo.extend(dict.fromkeys(more))
+        if len(members) > 1:
+            low = min(members)
+            for node in members:
+                yield node, low
+
+
+def cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(cycle, members): strongly connected sets of two or more nodes, and self
     loops; cycle is the smallest member.
 
-    Trimming drops nodes without edges in and out; then every node takes the
-    smallest label that reaches it, and the nodes that reach their label's node
-    inside the label's set are one component.
+    Trimming drops nodes without edges in and out until at most ``small`` edges
+    are left, which one task solves. Where more stay, every node takes the
+    smallest label that reaches it, the nodes that reach their label's node
+    inside the label's set are one component, and trimming begins again.
     """
+    kind = edges.schema["src"].dataType.simpleString()
     all_edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "scc")
     loops = all_edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-    left, found = all_edges.where("src <> dst"), None
-    for _ in range(rounds):
-        for _ in range(rounds):
-            n = left.count()
-            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc")
-            if left.count() == n:
-                break
-        if not n:
-            break
+    left = all_edges.where("src <> dst")
+    found = [loops.select("node", F.col("node").alias("start"))]
+    n = left.count()
+    while n > small:
+        before = n
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc")
+        n = left.count()
+        if n < before or n <= small:
+            continue
         label = cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("label", F.col("node")), "scc")
-        for _ in range(rounds):
+        moving = True
+        while moving:
             low = left.join(label, left.src == label.node).groupBy("dst").agg(F.min("label").alias("low"))
             after = cut(label.join(low, label.node == low.dst, "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")), "scc")
-            moved = after.where("moved").isEmpty()
-            label = after.drop("moved")
-            if moved:
-                break
+            moving, label = not after.where("moved").isEmpty(), after.drop("moved")
         own = left.join(label.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
         back = reach(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), label.where("node = label").select(F.col("label").alias("start")))
-        part = cut(back.join(label.withColumnRenamed("label", "start"), ["start", "node"]).select("start", "node"), "scc")
-        found = part if found is None else found.unionByName(part)
+        part = cut(back.join(label.withColumnRenamed("label", "start"), ["start", "node"]).select("node", "start"), "scc")
+        found.append(part)
         gone = part.select("node")
         left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
-    singles = loops.select(F.col("node").alias("start"), "node")
-    both = singles if found is None else found.unionByName(singles.join(found.groupBy("start").agg(F.count("*").alias("n")).where("n > 1").select("start").join(found, "start").select("node"), "node", "left_anti")).distinct()
+        n = left.count()
+    found.append(_in_one_task(left, strong_components, f"node {kind}, start {kind}"))
+    both = found[0]
+    for part in found[1:]:
+        both = both.unionByName(part)
     sets = both.groupBy("start").agg(F.array_sort(F.collect_set("node")).alias("members"))
-    kept = sets.join(loops.withColumnRenamed("node", "start").withColumn("loop", F.lit(True)), "start", "left").where("size(members) > 1 or loop")
-    return kept.select(F.array_min("members").alias("cycle"), "members")
+    grouped = cut(sets, "scc-sets")
+    inside = grouped.where("size(members) > 1").select(F.explode("members").alias("start"))
+    real = grouped.where("size(members) > 1").unionByName(grouped.where("size(members) = 1").join(loops.withColumnRenamed("node", "start"), "start", "left_semi").join(inside, "start", "left_anti"))
+    return real.select(F.array_min("members").alias("cycle"), "members")
+
 
+def chain_of(rows: list[tuple], source, target) -> Iterator[tuple]:
+    """(step, src, dst, via) of the shortest chain over (src, dst, via) rows."""
+    out: dict = {}
+    for a, b, via in rows:
+        out.setdefault(a, []).append((b, via))
+    by, near = {source: None}, [source]
+    while near and target not in by:
+        reached: dict = {}
+        for a in near:
+            for b, via in out.get(a, ()):
+                if b not in by and (b not in reached or (a, via) < reached[b]):
+                    reached[b] = (a, via)
+        by |= reached
+        near = list(reached)
+    steps = []
+    while target in by and by[target] is not None:
+        a, via = by[target]
+        steps.append((a, target, via))
+        target = a
+    for k, (a, b, via) in enumerate(reversed(steps), 1):
+        yield k, a, b, via
 
-def shortest_path(edges: DataFrame, source, target, rounds: int = MAX_ROUNDS) -> DataFrame:
+
+def shortest_path(edges: DataFrame, source, target, small: int = SMALL) -> DataFrame:
     """(step, src, dst, via) of a shortest chain; no rows if there is none.
 
     edges: src, dst, via. Self edges are dropped; among equals the smallest
     (src, via) comes first, so the chain is defined.
     """
     spark = edges.sparkSession
-    steps = edges.select("src", "dst", "via").where("src <> dst")
     kind = edges.schema["src"].dataType.simpleString()
+    steps = cut(edges.select("src", "dst", "via").where("src <> dst").distinct(), "path-edges")
+    if steps.count() <= small:
+        return _in_one_task(steps, lambda rows: chain_of(rows, source, target), f"step int, src {kind}, dst {kind}, via string")
     seen = spark.createDataFrame([(source, None, None, 0)], f"node {kind}, src {kind}, via string, depth int")
     frontier, hit = seen, source == target
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         if hit:
             break
         near = frontier.select(F.col("node").alias("src")).join(steps, "src").groupBy("dst").agg(F.min(F.struct("src", "via")).alias("by"))
@@ -95,6 +197,8 @@ def shortest_path(edges: DataFrame, source, target, rounds: int = MAX_ROUNDS) ->
             break
         hit = not frontier.where(F.col("node") == F.lit(target)).isEmpty()
         seen = seen.unionByName(frontier)
+        if depth % 8 == 0:
+            seen = cut(seen, "path-seen")
     rows, at = [], target
     while hit and at != source:  # the chain itself: as many rows as it has steps
         r = seen.where(F.col("node") == F.lit(at)).first()
@@ -103,6 +207,31 @@ def shortest_path(edges: DataFrame, source, target, rounds: int = MAX_ROUNDS) ->
     return spark.createDataFrame(sorted(rows), f"step int, src {kind}, dst {kind}, via string")
 
 
+def trace_path(edges: DataFrame, source, target) -> DataFrame:
+    """(direction, step, src, dst, via): the chain from source to target, else
+    the one from target to source; no rows if neither reaches the other."""
+    forward = cut(shortest_path(edges, source, target), "trace")
+    if source == target or not forward.isEmpty():
+        return forward.select(F.lit("forward").alias("direction"), "*")
+    return shortest_path(edges, target, source).select(F.lit("reverse").alias("direction"), "*")
+
+
+def trace_files(files: DataFrame, workflow_files: DataFrame, edges: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Why each file is in a workflow or isn't: file, in_workflow, workflows,
+    importers, classification.
+
+    edges: src, dst; buckets: file, bucket for files that no workflow holds. A
+    file that has neither is uncovered.
+    """
+    held = workflow_files.groupBy("file").agg(F.array_sort(F.collect_set("workflow")).alias("workflows"))
+    used = edges.groupBy(F.col("dst").alias("file")).agg(F.array_sort(F.collect_set("src")).alias("importers"))
+    known = buckets.groupBy("file").agg(F.min("bucket").alias("bucket"))
+    all_in = files.select("file").distinct().join(held, "file", "left").join(used, "file", "left").join(known, "file", "left")
+    inside = F.col("workflows").isNotNull()
+    empty = lambda name, df: F.coalesce(name, F.array().cast(df.schema[name].dataType)).alias(name)
+    return all_in.select("file", inside.alias("in_workflow"), empty("workflows", held), empty("importers", used), F.when(~inside, F.coalesce("bucket", F.lit("uncovered"))).alias("classification"))
+
+
 def in_degree(edges: DataFrame) -> DataFrame:
     """(node, n): edges that end in each node."""
     return edges.where("dst is not null").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))

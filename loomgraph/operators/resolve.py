@@ -191,6 +191,11 @@ def source_candidates(declared: str, config: Config) -> list[str]:
     return [declared, *(c for b in bases for c in (*(b + e for e in SOURCE_EXTENSIONS), b))]
 
 
+def unique_names(names: DataFrame) -> DataFrame:
+    """(name, id) of the names that one id alone bears. names: name, id."""
+    return names.groupBy("name").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").select("name", "id")
+
+
 def resolve_calls(functions: DataFrame, imports: DataFrame, edges: DataFrame) -> DataFrame:
     """Call edges: file, fn, call, to_id, resolution; the first rule that fits.
 
@@ -202,7 +207,7 @@ def resolve_calls(functions: DataFrame, imports: DataFrame, edges: DataFrame) ->
     local = functions.select("file", "name").distinct()
     named = imports.select("file", "seq", F.explode("names").alias("bare")).join(edges.select("file", "seq", "to_file"), ["file", "seq"])
     bound = named.groupBy("file", "bare").agg(F.max_by("to_file", F.when(F.col("to_file").isNotNull(), F.col("seq"))).alias("from_file"), F.bool_or(F.col("to_file").isNull()).alias("outside"))
-    unique = functions.where("exported").select("name", F.concat_ws("#", "file", "name").alias("id")).distinct().groupBy("name").agg(F.count("*").alias("n"), F.first("id").alias("unique_id")).where("n = 1").select(F.col("name").alias("bare"), "unique_id")
+    unique = unique_names(functions.where("exported").select("name", F.concat_ws("#", "file", "name").alias("id"))).select(F.col("name").alias("bare"), F.col("id").alias("unique_id"))
     has = lambda key, flag: local.select("file", F.col("name").alias(key), F.lit(True).alias(flag))
     defined = local.select(F.col("file").alias("from_file"), F.col("name").alias("bare"), F.lit(True).alias("defines"))
     all_in = (

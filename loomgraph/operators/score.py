@@ -63,7 +63,7 @@ def simulate(signals: DataFrame, overrides: DataFrame) -> DataFrame:
     changed = signals.join(overrides, ["workflow", "signal"], "left").withColumn("value_after", F.coalesce("new_value", "value"))
     before = workflow_scores(signals).select("workflow", F.col("score").alias("before"))
     after = workflow_scores(changed.select("workflow", "signal", F.col("value_after").alias("value"), "weight")).select("workflow", F.col("score").alias("after"))
-    return before.join(after, "workflow").withColumn("delta", F.col("after") - F.col("before")).where("delta <> 0")
+    return before.join(after, "workflow").withColumn("delta", F.col("after") - F.col("before")).where("abs(delta) > 1e-9")
 
 
 def unmatched(overrides: DataFrame, signals: DataFrame) -> DataFrame:

@@ -69,3 +69,15 @@ def path_claims(text) -> F.Column:
 def id_claims(text) -> F.Column:
     """Eight-digit finding ids in a text."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit("\\b([0-9a-f]{8})\\b"), F.lit(1)))
+
+
+def workflow_claims(text) -> F.Column:
+    """Workflow ids (``wf:kind:file``) in a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("\\b(wf:[a-z-]+:[A-Za-z0-9_@./-]*[A-Za-z0-9_])"), F.lit(1)))
+
+
+def relation_claims(text) -> F.Column:
+    """(from, to) of sentences that say a path imports, calls or reaches another."""
+    path = "([A-Za-z0-9_@./-]+\\.[A-Za-z]{1,4})"
+    said = f"{path}`?\\s+(?:imports|calls|reaches|depends on|uses)\\s+`?{path}"
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(said), F.lit(1)).alias("from"), F.regexp_extract_all(text, F.lit(said), F.lit(2)).alias("to"))

@@ -1,9 +1,7 @@
 """The engine's operators over the relational tables, each with its SQL.
 
 The tables hold no source code, so entities stand in: nations are workflows,
-suppliers and orders their files, and so on. Every query reads whole tables;
-``g3_cycles``, ``g7_components`` and ``j11_overlap`` then keep only the rows that
-their SQL names, and their ``_whole`` forms keep all users, suppliers and orders.
+suppliers and orders their files, and so on. Every query reads whole tables.
 """
 
 from __future__ import annotations
@@ -16,6 +14,9 @@ from ..functions import text as T
 from ..operators import detectors, diff, findings, graph, ordering, resolve, score, search
 from ..operators.components import connected_components
 from ..session import table
+from ..sources.project import tag_attributes
+from ..streaming import remap
+from .project import has_generated_header, import_roots
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,7 +83,7 @@ def transitions(t) -> DataFrame:
 
 TRANSITIONS_SQL = """tr as (select distinct src, dst from (
   select user_id, event_type src, lead(event_type) over (partition by user_id order by ts, event_id) dst from events)
-  where dst is not null and user_id % 11 = 0)"""
+  where dst is not null)"""
 
 
 @query("g3_cycles", f"""with recursive {TRANSITIONS_SQL}, walk as (
@@ -91,13 +92,46 @@ pairs as (select a.src, a.dst from walk a join walk b on a.src = b.dst and a.dst
 select min(dst) as cycle, list_sort(list(distinct dst)) members from pairs group by src
 qualify row_number() over (partition by list_sort(list(distinct dst)) order by src) = 1""")
 def g3(t):
-    return graph.cycles(transitions(t).where("user_id % 11 = 0"))
+    return graph.cycles(transitions(t))
 
 
-@query("g3_cycles_whole")
-def g3_whole(t):
-    """Over the steps of all users."""
-    return graph.cycles(transitions(t))
+def ring_edges(t) -> DataFrame:
+    """Customers in a ring by key: one cycle as long as the table."""
+    keys = t("customer").select(F.col("c_custkey").alias("src"))
+    ends = keys.agg(F.max("src").alias("src"), F.min("src").alias("dst"))
+    return keys.join(keys.select((F.col("src") - 1).alias("src"), F.col("src").alias("dst")), "src").unionByName(ends)
+
+
+@query("g3_ring", "select min(c_custkey) as cycle, list_sort(list(c_custkey)) as members from customer")
+def g3_ring(t):
+    return graph.cycles(ring_edges(t))
+
+
+@query("g4_long_chain", """select cast(row_number() over (order by a.c_custkey) as int) as step, a.c_custkey as src, b.c_custkey as dst, 'next' as via
+from customer a join customer b on b.c_custkey = a.c_custkey + 1""")
+def g4_long(t):
+    ends = t("customer").agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    return graph.shortest_path(ring_edges(t).where("src < dst").withColumn("via", F.lit("next")), *ends)
+
+
+@query("g5_trace_files", """with wf as (select l_partkey file, list_sort(list(distinct l_suppkey % 5)) workflows from lineitem where l_quantity > 49 group by 1),
+im as (select l_partkey file, list_sort(list(distinct l_suppkey)) importers from lineitem where l_quantity > 48 group by 1)
+select p_partkey as file, workflows is not null as in_workflow, coalesce(workflows, []) as workflows, coalesce(importers, []) as importers,
+ case when workflows is null then case when p_size < 10 then 'generated' when p_size < 20 then 'test' else 'uncovered' end end as classification
+from part left join wf on wf.file = p_partkey left join im on im.file = p_partkey""")
+def g5(t):
+    lines = t("lineitem")
+    wf = lines.where("l_quantity > 49").select(F.col("l_partkey").alias("file"), (F.col("l_suppkey") % 5).alias("workflow"))
+    edges = lines.where("l_quantity > 48").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    files = t("part").select(F.col("p_partkey").alias("file"), F.when(F.col("p_size") < 10, "generated").when(F.col("p_size") < 20, "test").alias("bucket"))
+    return graph.trace_files(files, wf, edges, files.where("bucket is not null"))
+
+
+@query("g6_reverse_chain", """with x as (select c_custkey c, n_nationkey n, n_regionkey r from customer join nation on c_nationkey = n_nationkey where c_custkey = (select min(c_custkey) from customer))
+select 'reverse' as direction, 1 as step, 'r:'||r as src, 'n:'||n as dst, 'holds' as via from x union all select 'reverse', 2, 'n:'||n, 'c:'||c, 'holds' from x""")
+def g6_reverse(t):
+    first = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).orderBy("c_custkey").select("c_custkey", "n_regionkey").first()
+    return graph.trace_path(entity_edges(t).withColumn("via", F.lit("holds")), f"c:{first[0]}", f"r:{first[1]}")
 
 
 @query("g4_shortest_chain", """with n as (select n_nationkey k, n_regionkey r from nation),
@@ -118,31 +152,20 @@ def g6(t):
 
 
 @query("g7_components", """with recursive k as (
-  select s_suppkey id, 'n'||s_nationkey key from supplier where s_nationkey % 3 = 0 union all
-  select s_suppkey, 'b'||cast(floor(s_acctbal / 100) as bigint) from supplier where s_nationkey % 3 <> 1),
+  select s_suppkey id, 'n'||s_nationkey key from supplier where s_nationkey is not null union all
+  select s_suppkey, 'b'||cast(floor(s_acctbal / 100) as bigint) from supplier where s_acctbal is not null),
 e as (select distinct a.id x, b.id y from k a join k b on a.key = b.key),
 walk as (select x, y from e union select w.x, e.y from walk w join e on w.y = e.x)
 select x as node, min(y) as component from walk group by x""")
 def g7(t):
-    s = t("supplier")
-    keys = s.where("s_nationkey % 3 = 0").select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("key")).union(
-        s.where("s_nationkey % 3 <> 1").select("s_suppkey", F.concat(F.lit("b"), F.floor(F.col("s_acctbal") / 100).cast("string"))))
-    return key_components(keys)
-
-
-def key_components(keys: DataFrame) -> DataFrame:
-    """Suppliers that keys join, by a star for each key."""
-    hub = keys.groupBy("key").agg(F.min("s_suppkey").alias("hub"))
-    return connected_components(keys.join(hub, "key"), "s_suppkey", "hub")
-
-
-@query("g7_components_whole")
-def g7_whole(t):
-    """Every supplier with both keys; one without either stands alone."""
+    """Suppliers joined by nation or by balance, by a star for each key; one
+    without either stands alone."""
     s = t("supplier")
     nation, balance = F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.concat(F.lit("b"), F.floor(F.col("s_acctbal") / 100).cast("string"))
     own = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    return key_components(s.select("s_suppkey", F.explode(F.array_compact(F.array(own, nation, balance))).alias("key")))
+    keys = s.select("s_suppkey", F.explode(F.array_compact(F.array(own, nation, balance))).alias("key"))
+    hub = keys.groupBy("key").agg(F.min("s_suppkey").alias("hub"))
+    return connected_components(keys.join(hub, "key"), "s_suppkey", "hub")
 
 
 @query("g8_in_degree", "select l_partkey as node, count(*) as n from (select distinct l_suppkey, l_partkey from lineitem) group by 1")
@@ -249,19 +272,10 @@ def j10(t):
     return t("documents").select(first.alias("class")).where("class is not null").groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("j11_overlap", """with a as (select l_orderkey k, list(distinct l_partkey) p from lineitem where l_orderkey % 5 = 0 group by 1),
+@query("j11_overlap", """with a as (select l_orderkey k, list(distinct l_partkey) p from lineitem group by 1),
 h as (select p_partkey from part where p_size > 48)
 select count(*) as n from a where list_has_any(p, (select list(p_partkey) from h))""")
 def j11(t):
-    hot = t("part").where("p_size > 48").select(F.col("p_partkey").alias("l_partkey"))
-    return t("lineitem").where("l_orderkey % 5 = 0").join(hot, "l_partkey", "left_semi").agg(F.countDistinct("l_orderkey").alias("n"))
-
-
-@query("j11_overlap_whole", """with a as (select l_orderkey k, list(distinct l_partkey) p from lineitem group by 1),
-h as (select p_partkey from part where p_size > 48)
-select count(*) as n from a where list_has_any(p, (select list(p_partkey) from h))""")
-def j11_whole(t):
-    """Over all orders."""
     hot = t("part").where("p_size > 48").select(F.col("p_partkey").alias("l_partkey"))
     return t("lineitem").join(hot, "l_partkey", "left_semi").agg(F.countDistinct("l_orderkey").alias("n"))
 
@@ -687,7 +701,8 @@ def q3(t):
 
 @query("s9_links", "select href, count(*) as n from (select unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) href from pages) group by 1")
 def s9(t):
-    return t("pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("href").agg(F.count("*").alias("n"))
+    pages = t("pages").select(F.col("url").alias("file"), F.col("html").alias("text"))
+    return tag_attributes(pages, "a").select(F.col("attributes")["href"].alias("href")).groupBy("href").agg(F.count("*").alias("n"))
 
 
 @query("s7_json", "select cast(json_extract(props, '$.k') as int) as k, count(*) as n from events group by 1")
@@ -695,14 +710,14 @@ def s7(t):
     return t("events").select(F.from_json("props", "k int").getField("k").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("x11_claims", "select claim, count(*) as n from (select unnest(list_distinct(regexp_extract_all(url, '\\b([0-9a-z]+\\.html)\\b', 1))) claim from pages) group by 1")
+@query("x11_claims", """select claim, count(*) as n from (select unnest(list_distinct(regexp_extract_all(url, '([A-Za-z0-9_@./-]+\\.(?:js|ts|jsx|tsx|mjs|cjs|py|go|rs|rb|java|php|json|md|html))\\b', 1))) claim from pages) group by 1""")
 def x11(t):
-    return t("pages").select(F.explode(F.array_distinct(F.regexp_extract_all("url", F.lit("\\b([0-9a-z]+\\.html)\\b"), F.lit(1)))).alias("claim")).groupBy("claim").agg(F.count("*").alias("n"))
+    return t("pages").select(F.explode(search.path_claims(F.col("url"))).alias("claim")).groupBy("claim").agg(F.count("*").alias("n"))
 
 
-@query("f_redact", """select doc_id, sha256(regexp_replace(text, '(?i)\\b([A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD)\\s*=\\s*)"?[A-Za-z0-9_./+=-]{8,}"?', '\\1[REDACTED]', 'g')) as digest from documents where regexp_matches(text, 'token = ')""")
+@query("f_redact", """select doc_id, sha256(regexp_replace(text, '(?i)\\b([A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD)\\s*=\\s*)"?[A-Za-z0-9_./+=-]{8,}"?', '\\1[REDACTED]', 'g')) as digest from documents""")
 def f_redact(t):
-    return t("documents").where(F.col("text").rlike("token = ")).select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("digest"))
+    return t("documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("digest"))
 
 
 @query("f_clip", "select conv_id, turn, case when length(text) > 40 then substr(text, 1, 39)||'…' else text end as clipped from conversations")
@@ -728,12 +743,12 @@ def t1(t):
 s as (select *, sum(new::int) over (partition by user_id order by ts range between unbounded preceding and current row) as g from b)
 select user_id, min(ts) as session_start, count(*) as n from s group by user_id, g""")
 def t2(t):
-    return t("events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
+    return remap.sessions(t("events"), "6 hours")
 
 
 @query("t3_windows", "select event_type, date_trunc('day', ts) as day, count(*) as n from events group by 1, 2")
 def t3(t):
-    return t("events").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("day"), "n")
+    return remap.windowed_counts(t("events"), "1 day").withColumnRenamed("start", "day")
 
 
 # ---- predicates, resolution and reports ----------------------------------
@@ -748,13 +763,23 @@ def p3(t):
     return t("pages").select("page_id", P.is_test_file(F.col("url")).alias("anchored"), P.has_test_path(F.col("url")).alias("anywhere"))
 
 
-@query("p5_header", "select doc_id from documents where regexp_matches(substr(text, 1, 300), '(?i)licensed under|all rights reserved')")
+@query("p5_header", "select doc_id, coalesce(regexp_matches(lower(substr(text, 1, 300)), '@generated|auto-?generated|generated by|do not edit'), false) as made from documents")
 def p5(t):
-    return t("documents").where(F.substring("text", 1, 300).rlike("(?i)licensed under|all rights reserved")).select("doc_id")
+    return t("documents").select("doc_id", has_generated_header(F.col("text")).alias("made"))
+
+
+def _intents_sql() -> str:
+    """The requests' table as a CASE over lower-case words."""
+    rules = []
+    for name, begins, holds in detectors.INTENTS:
+        begin = " or ".join("starts_with(w, ' {} ')".format(x.replace("'", "''")) for x in begins)
+        hold = " or ".join("contains(w, ' {} ')".format(x.replace("'", "''")) for x in holds if x) or "true"
+        rules.append(f"when ({begin}) and ({hold}) then '{name}'")
+    words = "' '||trim(regexp_replace(lower(text), '[^0-9a-z_./''-]+|[.](\\s|$)', ' ', 'g'))||' '"
+    return f"select conv_id, turn, case {' '.join(rules)} else 'unknown' end as asked from (select *, {words} w from conversations)"
 
 
-@query("p13_intents", """select conv_id, turn, case when regexp_matches(trim(text), '(?i)(show|list) (unresolved )?findings\\b') then 'findings' when regexp_matches(trim(text), '(?i)^(?:find|look for|where is) (.+)') then 'find' else 'unknown' end as asked
-from conversations""")
+@query("p13_intents", _intents_sql())
 def p13(t):
     return t("conversations").select("conv_id", "turn", detectors.intent(F.col("text")).alias("asked"))
 
@@ -768,12 +793,32 @@ def r1(t):
 
 @query("r15_unique_names", "select p_name||p_brand||p_size as name, min(p_partkey) as id from part group by 1 having count(distinct p_partkey) = 1")
 def r15(t):
-    return t("part").groupBy(F.concat("p_name", "p_brand", F.col("p_size").cast("string")).alias("name")).agg(F.countDistinct("p_partkey").alias("n"), F.min("p_partkey").alias("id")).where("n = 1").select("name", "id")
+    return resolve.unique_names(t("part").select(F.concat("p_name", "p_brand", F.col("p_size").cast("string")).alias("name"), F.col("p_partkey").alias("id")))
+
+
+@query("r14_calls", """with f as (select distinct 's'||l_suppkey file, 'p'||l_partkey name from lineitem where l_linenumber = 1),
+c as (select file, name fn, unnest(['p'||(substr(name, 2)::bigint + 1), 'q.'||name]) as call, 's'||(substr(file, 2)::bigint + 1) to_file from f),
+u as (select name, min(file) file from f group by 1 having count(*) = 1)
+select c.file, fn, c.call, split_part(c.call, '.', 1) as receiver,
+ case when l.name is not null then c.file||'#'||c.call when contains(c.call, '.') then null when d.name is not null then c.to_file||'#'||c.call when u.name is not null then u.file||'#'||c.call end as to_id,
+ case when l.name is not null then 'local' when contains(c.call, '.') then 'dynamic' when d.name is not null or u.name is not null then 'cross-file' else 'unresolved' end as resolution
+from c left join f l on l.file = c.file and l.name = c.call left join f d on d.file = c.to_file and d.name = c.call left join u on u.name = c.call""")
+def r14(t):
+    """Suppliers as files that define parts and import the next part from the
+    next supplier."""
+    made = t("lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    file, after = F.concat(F.lit("s"), F.col("s").cast("string")), F.concat(F.lit("p"), (F.col("p") + 1).cast("string"))
+    name = F.concat(F.lit("p"), F.col("p").cast("string"))
+    functions = made.select(file.alias("file"), name.alias("name"), F.lit(True).alias("exported"), F.lit(None).cast("string").alias("receiver"), F.array(after, F.concat(F.lit("q."), name)).alias("calls"))
+    imports = made.select(file.alias("file"), F.col("p").alias("seq"), F.array(after).alias("names"))
+    edges = made.select(file.alias("file"), F.col("p").alias("seq"), F.concat(F.lit("s"), (F.col("s") + 1).cast("string")).alias("to_file"))
+    return resolve.resolve_calls(functions, imports, edges)
 
 
 @query("e12_roots", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity = 50)")
 def e12(t):
-    return t("part").join(t("lineitem").where("l_quantity = 50"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    edges = t("lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("to_file"))
+    return import_roots(t("part").select(F.col("p_partkey").alias("file")), edges).withColumnRenamed("file", "p_partkey")
 
 
 @query("m2_architecture", f"""with {SIGNALS_SQL}, n as (select c_nationkey workflow, count(*) n_files from customer group by 1), t as (select count(*) c from customer)
@@ -812,3 +857,126 @@ def f_budget(t):
 @query("f_paths", "select page_id, regexp_replace(url, '/[^/]*$', '') as folder, list_last(string_split(url, '/')) as name from pages")
 def f_paths(t):
     return t("pages").select("page_id", P.dirname(F.col("url")).alias("folder"), P.basename(F.col("url")).alias("name"))
+
+
+# ---- scans, gates and plans ----------------------------------------------
+
+CALLS = ("a.then", "b.catch", "url.parse", "fs.exists", "go", "util.inspect", "c.then")
+CALLS_SQL = "[" + ", ".join(f"'{c}'" for c in CALLS) + "]"
+NODES_SQL = f"""nodes as (select 'src/f'||l_suppkey||case when l_suppkey % 4 = 0 then '.cjs' else '.js' end file, count_if(l_linenumber = 1) vars, l_suppkey % 3 = 0 script,
+ l_suppkey % 10 = 9 made, list({CALLS_SQL}[1 + l_partkey % 7]) calls from lineitem group by l_suppkey)"""
+
+
+def code_nodes(t) -> DataFrame:
+    """Suppliers as source files whose lines are calls."""
+    key = F.col("l_suppkey")
+    call = F.element_at(F.array(*map(F.lit, CALLS)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    grouped = t("lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_linenumber") == 1).alias("var_count"), F.collect_list(call).alias("calls"))
+    return grouped.select(
+        F.concat(F.lit("src/f"), key.cast("string"), F.when(key % 4 == 0, ".cjs").otherwise(".js")).alias("file"), "var_count",
+        F.when(key % 3 == 0, "script").otherwise("module").alias("module_type"), F.array(F.struct(F.lit("f").alias("name"), "calls")).alias("functions"), (key % 10 == 9).alias("made"),
+    )
+
+
+PATTERN_SQL = {
+    "var-declarations": "vars", "promise-then-chains": "len(list_filter(calls, lambda c: ends_with(c, '.then') or ends_with(c, '.catch')))",
+    "deprecated-node-api": "len(list_filter(calls, lambda c: c in ('url.parse', 'fs.exists', 'util.isArray', 'querystring.parse')))",
+    "cjs-in-esm-project": "(script and not ends_with(file, '.cjs'))::int",
+}
+
+
+def patterns_sql(where: str) -> str:
+    return " union all ".join(f"select '{rule}' as rule, sum({n}) as occurrences, count(*) as n_files, min(file) as first_file from nodes where not made and {n} > 0 and {where} having count(*) > 0" for rule, n in PATTERN_SQL.items())
+
+
+@query("p10_code_patterns", f"with {NODES_SQL} {patterns_sql('true')}")
+def p10(t):
+    nodes = code_nodes(t)
+    return findings.code_patterns(nodes, generated=nodes.where("made"), package_type="module")
+
+
+SCAN_SQL = f"""{NODES_SQL}, wf as (select 'wf'||(substr(regexp_extract(file, 'f[0-9]+'), 2)::bigint % 7) workflow, file from nodes),
+big as (select workflow from wf group by 1 order by count(*) desc, 1 limit 3), scope as (select file from wf where workflow in (from big))"""
+
+
+def scan(t, mode: str) -> DataFrame:
+    nodes = code_nodes(t)
+    wf = nodes.select(F.concat(F.lit("wf"), (F.regexp_extract("file", "f([0-9]+)", 1).cast("long") % 7).cast("string")).alias("workflow"), "file")
+    named = F.element_at(F.array(*map(F.lit, ("moment", "request", "react", "q"))), (F.col("p_size") % 4 + 1).cast("int"))
+    dependencies = t("part").select(named.alias("package")).distinct()
+    lone = t("nation").where("n_nationkey < 0").select(F.col("n_name").alias("file"))
+    doubles = findings.duplicate_rule(t("documents").select(F.col("doc_id").cast("string").alias("file"), F.substring(F.sha1(T.normal_form(F.col("text"))), 1, 16).alias("shape_hash")))
+    return findings.modernization_scan(mode, dependencies, nodes, wf, lone, nodes.where("made"), "module", doubles)
+
+
+DEPENDENCY_SQL = """select 'dependency' as tier, case n when 'moment' then 'legacy-maintenance-mode' when 'request' then 'legacy-deprecated' else 'legacy-native-replacement' end as rule, count(*) as occurrences
+from (select distinct ['moment', 'request', 'react', 'q'][1 + p_size % 4] n from part) where n <> 'react' group by all"""
+
+
+@query("m3_scan_light", DEPENDENCY_SQL)
+def m3_light(t):
+    return scan(t, "light")
+
+
+@query("m3_scan_medium", f"with {SCAN_SQL} {DEPENDENCY_SQL} union all select 'pattern', rule, occurrences from ({patterns_sql('file in (from scope)')})")
+def m3_medium(t):
+    return scan(t, "medium")
+
+
+@query("m3_scan_heavy", f"""with {SCAN_SQL} {DEPENDENCY_SQL} union all select 'pattern', rule, occurrences from ({patterns_sql('true')})
+union all select 'architecture', 'duplicate-functions', count(*) from (select 1 from documents where text is not null group by {NORMAL_SQL} having count(*) > 1) having count(*) > 0""")
+def m3_heavy(t):
+    return scan(t, "heavy")
+
+
+@query("m2_duplicates", f"""select 'duplicate-functions' as rule, n||' functions in '||array_to_string(files, ', ') as subject, 1.0::double as certainty
+from (select count(*) n, list_sort(list(distinct cast(doc_id as varchar))) files from documents where text is not null group by {NORMAL_SQL} having count(*) > 1)""")
+def m2_duplicates(t):
+    return findings.duplicate_rule(t("documents").select(F.col("doc_id").cast("string").alias("file"), F.substring(F.sha1(T.normal_form(F.col("text"))), 1, 16).alias("shape_hash")))
+
+
+def gate_rows(t) -> DataFrame:
+    return diff.run_gates(
+        errors=t("orders").where("o_totalprice < 0"), nodes=t("part"), checks=t("supplier").select((F.col("s_acctbal") > 0).alias("ok")),
+        findings=d1(t), reports=t("orders").select((F.col("o_orderdate") < F.lit(CUT).cast("timestamp")).alias("stale")),
+    )
+
+
+GATES_SQL = f"""g as (select 'config' gate, case when count(*) > 0 then 'fail' else 'pass' end status, count(*) n from orders where o_totalprice < 0
+union all select 'map', 'pass', 0 union all select 'doctor', case when count_if(s_acctbal <= 0) > 0 then 'warn' else 'pass' end, count_if(s_acctbal <= 0) from supplier
+union all select 'regression', case when count_if(severity = 'high' and kind in ('workflow-removed', 'confidence-regression')) > 0 then 'fail' when count(*) > 0 then 'warn' else 'pass' end, count(*) from ({ORACLES['d1_diff']})
+union all select 'freshness', case when count_if(o_orderdate < timestamp '{CUT}') > 0 then 'warn' else 'pass' end, count_if(o_orderdate < timestamp '{CUT}') from orders)"""
+
+
+@query("k8_gates", f"with {GATES_SQL} select gate, status, n from g")
+def k8_gates(t):
+    return gate_rows(t)
+
+
+@query("k8_verify", f"with {GATES_SQL} select case when bool_or(status = 'fail') then 'fail' when bool_or(status = 'warn') then 'warn' else 'pass' end as verdict, case when bool_or(status = 'fail') then 2 when bool_or(status = 'warn') then 1 else 0 end as exit_code from g")
+def k8_verify(t):
+    return diff.verify(gate_rows(t), strict=True)
+
+
+@query("k4_plan", f"""with {SIGNALS_SQL}, n as (select c_nationkey workflow, count(*) n_files from customer group by 1),
+e as (select workflow, signal, (1 - value) * weight / sum(case when value is not null then weight end) over (partition by workflow) g, value from sig),
+lifted as (select workflow, signal, g * n_files / (select sum(n_files) from n) * 0.9 lift from e join n using (workflow) where value < 1 and g > 0 and signal <> 'stability'),
+pick as (select workflow, signal from lifted qualify row_number() over (order by lift desc, workflow||':'||signal) <= 10),
+a as (select workflow, signal, case when p.signal is not null then 1.0 else value end v, weight from sig left join pick p using (workflow, signal)),
+s2 as (select workflow, sum(v * weight) / sum(case when v is not null then weight end) s from a group by 1)
+select workflow, round(score, 6) as before, round(s, 6) as after, round(s - score, 6) as delta from sc join s2 using (workflow) where abs(s - score) > 1e-9""")
+def k4_plan(t):
+    """The best ten tasks of 20 minutes, none of them risky, simulated together."""
+    signals = nation_signals(t)
+    sizes = t("customer").groupBy(F.col("c_nationkey").alias("workflow")).agg(F.count("*").alias("n_files"))
+    tasks = findings.plan_candidates(signals, sizes).select(
+        F.concat_ws(":", F.col("workflow").cast("string"), "signal").alias("id"), F.lit("add-test").alias("kind"), "workflow", "signal", F.lit(1.0).alias("new_value"), F.lit(20.0).alias("effort"),
+        F.when(F.col("signal") == "stability", "high").otherwise("low").alias("risk"), "lift",
+    )
+    _, after = findings.plan_improvements(tasks, signals, 200.0)
+    return after.select("workflow", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta")])
+
+
+@query("o5_solutions_top", "select p_brand as cluster, max(p_retailprice) as priority from part group by 1 order by 2 desc, 1 limit 10")
+def o5(t):
+    return findings.top_solutions(t("part").groupBy(F.col("p_brand").alias("cluster")).agg(F.max("p_retailprice").alias("priority")), 10)
