@@ -42,6 +42,59 @@ def test_broken_pages_are_defined(page):
     assert page is None or "<" not in page or mincut.main_text(page) == ""
 
 
+def bare_page(rng):
+    """A page without article elements and without names, and its article."""
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+    text = [say(rng.randrange(30, 70)) + "." for _ in range(5)]
+    text.insert(2, "So it went on")
+    menu = "".join(f"<li><a href=x>{say(2)}</a></li>" for _ in range(rng.randrange(4, 9)))
+    #: one wordy entry amid the menu
+    menu += "<li>" + say(5) + ".</li>" + "".join(f"<li><a href=x>{say(2)}</a></li>" for _ in range(3))
+    return f"<html><body><div><ul>{menu}</ul></div><div>{''.join(f'<p>{t}</p>' for t in text)}</div><div><a href=y>{say(2)}</a></div></body></html>", "\n".join(text)
+
+
+def test_edges_decide_on_pages_without_names(monkeypatch):
+    rng = random.Random(8)
+    cases = [bare_page(rng) for _ in range(30)]
+    assert [mincut.main_text(page) for page, _ in cases] == [text for _, text in cases]
+    monkeypatch.setattr(mincut, "E_NEXT", 0.0)
+    monkeypatch.setattr(mincut, "E_PARENT", 0.0)
+    alone = [mincut.main_text(page) for page, _ in cases]
+    assert all("So it went on" not in got for got in alone) and all(got != text for got, (_, text) in zip(alone, cases, strict=True))
+
+
+def test_elements_speak_through_edges(monkeypatch):
+    assert "A title" in mincut.main_text(PAGE) and "Buy this" not in mincut.main_text(PAGE)
+    monkeypatch.setattr(mincut, "E_OWN", 0.0)
+    assert "A title" not in mincut.main_text(PAGE)
+
+
+def test_nested_elements():
+    inner = lambda c: f'<article><p>The article says this and that at length.</p><section class="{c}"><div class="content"><p>I liked that text a lot, thank you for it all.</p></div></section></article>'
+    assert "liked" not in mincut.main_text(inner("comments")) and "liked" in mincut.main_text(inner("part two"))
+    assert mincut.main_text('<div class="sidebar-layout"><article><p>The article says this and that.</p></article></div>') == "The article says this and that."
+
+
+def test_classifier_is_fitted_on_what_elements_label(spark):
+    rng = random.Random(3)
+    sums = sum(mincut.labelled(*mincut.blocks(PAGE)) for _ in range(20))
+    bias, *weights = mincut.fitted(sums)
+    assert weights[1] < 0 < weights[0] and mincut.fitted(sums * 0) == mincut.FALLBACK
+    pages = [(k, f"u{k}", PAGE) for k in range(60)] + [(100 + k, "v", bare_page(rng)[0]) for k in range(20)] + [(200, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = mincut.learn_weights(df)
+    assert found == mincut.learn_weights(df.repartition(5)) != mincut.FALLBACK and mincut.learn_weights(df.where("false")) == mincut.FALLBACK
+
+
+def test_long_pages_are_cut_quickly():
+    import time
+
+    page = "<body>" + "".join(f"<div><p>{'word ' * (4 + 40 * (k % 2))}</p><p>and so</p></div>" for k in range(15_000)) + "</body>"
+    began = time.thread_time()
+    assert mincut.main_text(page)
+    assert time.thread_time() - began < 30
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = mincut.extract_pages(df).collect()
