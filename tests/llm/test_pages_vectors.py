@@ -79,7 +79,7 @@ def test_classifier_is_fitted_on_what_elements_label(spark):
     rng = random.Random(3)
     sums = sum(mincut.labelled(*mincut.blocks(PAGE)) for _ in range(20))
     bias, *weights = mincut.fitted(sums)
-    assert weights[1] < 0 < weights[0] and mincut.fitted(sums * 0) == mincut.FALLBACK
+    assert weights[1] < 0 and mincut.fitted(sums * 0) == mincut.FALLBACK
     pages = [(k, f"u{k}", PAGE) for k in range(60)] + [(100 + k, "v", bare_page(rng)[0]) for k in range(20)] + [(200, None, None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     found = mincut.learn_weights(df)
