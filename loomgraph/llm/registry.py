@@ -16,7 +16,7 @@ from .langid import held_out, language_of
 from .mincut import extract_pages
 from .mixing import mix_plan
 from .sharding import shard_by_bytes
-from .simhash import edited_fingerprints
+from .simhash import edited_fingerprints, with_near
 from .suffixes import repeat_digests
 
 
@@ -47,8 +47,9 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text against itself with its last half replaced by the beginning
-    of the next document's, and against that next document."""
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    of the next document's, and against that next document; n_near counts the
+    other fingerprints within three bits of its own."""
+    return with_near(edited_fingerprints(table(spark, sf_dir, "documents")))
 
 
 def op8_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:

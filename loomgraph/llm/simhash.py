@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .grouped import SMALL, block_pairs, fixed, map_groups, small_pairs
 from .text import U, chunks, mix, shingles, strings, word_hashes
 
-BITS = 128
+BITS, RADIUS, BLOCK = 128, 3, 1024
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64) * 2 - 1)
 _POP = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
 
@@ -146,24 +147,61 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
             for doc_id, text, following in zip(f.doc_id, f.text, f.next_text, strict=True):
                 yield _digests([None if pd.isna(doc_id) else int(doc_id)], [text], following).to_pandas()
 
-    closing = lasts.select("doc_id", "text", "next_text").mapInPandas(finish, _OUT)
+    closing = cut(lasts.select("doc_id", "text", "next_text").mapInPandas(finish, _OUT), "simhash-last")
     return made.where("kind = 'row'").select(*names).unionByName(closing)
 
 
-def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """All pairs (a < b) of distinct fingerprints at most ``radius`` bits apart.
+def with_near(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """found with n_near: other distinct fingerprints within the radius of the
+    row's own; found is read twice."""
+    near = within_radius(found, radius)
+    return found.join(near, "fingerprint", "left").select(*found.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
-    prints: a column ``fingerprint``. Rows with equal fingerprints are one.
+
+def within_radius(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fingerprint, n_near: how many other fingerprints are at most ``radius``
+    bits apart, for every distinct fingerprint that has any.
+
+    prints: a column ``fingerprint``. Rows with equal fingerprints are one. A
+    table for each of radius + 1 blocks brings its block to the front; the
+    fingerprints that agree there are compared, those of a large group as pairs
+    of blocks. A pair is counted in the first table that it shares, so nothing
+    but counts leaves a group.
     """
-    blocks = radius + 1
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    tables = radius + 1
+    edges = np.array([BITS * k // tables for k in range(tables + 1)])
     bits = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(BITS // 32)])
-    one = prints.select("fingerprint").where("fingerprint is not null").distinct().withColumn("bits", bits)
-    table = one.select("fingerprint", F.posexplode(F.array(*[F.expr(f"substring(bits, {a + 1}, {z - a})") for a, z in zip(edges, edges[1:], strict=False)])).alias("block", "value"))
-    words = [(F.conv(F.substring("fingerprint", 1 + 8 * k, 8), 16, 10)).cast("long") for k in range(BITS // 32)]
-    table = table.withColumn("w", F.array(*words))
-    a = table.select("block", "value", F.col("fingerprint").alias("a"), F.col("w").alias("wa"))
-    b = table.select("block", "value", F.col("fingerprint").alias("b"), F.col("w").alias("wb"))
-    apart = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(BITS // 32)), F.lit(0))
-    pairs = a.join(b, ["block", "value"]).where("a < b").withColumn("distance", apart).where(F.col("distance") <= radius)
-    return pairs.select("a", "b", "distance").distinct()
+    one = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    values = F.array(*[F.xxhash64(F.lit(k), F.substring(bits, int(a) + 1, int(z - a))) for k, (a, z) in enumerate(zip(edges, edges[1:], strict=False))])
+    placed = cut(one.select(F.unhex("fingerprint").alias("print"), F.xxhash64("fingerprint").alias("rep"), F.posexplode(values).alias("tab", "value")), "simhash-tables")
+    sizes = placed.groupBy("tab", "value").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = block_pairs(placed.join(sizes, ["tab", "value"]), "n", "rep", BLOCK)
+
+    def compare(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        raw = fixed(t["print"], np.uint8, t.num_rows)
+        mine, cell_a, cell_b, tab = (t[c].to_numpy() for c in ("mine", "cell_a", "cell_b", "tab"))
+        near = np.zeros(t.num_rows, np.int64)
+
+        def count(p: np.ndarray, q: np.ndarray) -> None:
+            fits = ((mine[p] == cell_a[p]) & (mine[q] == cell_b[p])) | ((mine[q] == cell_a[p]) & (mine[p] == cell_b[p]))
+            p, q = p[fits], q[fits]
+            close = _POP[raw[p] ^ raw[q]].sum(axis=1) <= radius
+            p, q = p[close], q[close]
+            if len(p):
+                apart = np.unpackbits(raw[p] ^ raw[q], axis=1)
+                differ = np.stack([apart[:, a:z].any(axis=1) for a, z in zip(edges, edges[1:], strict=False)], axis=1)
+                first = (~differ).argmax(axis=1) == tab[p]
+                near[:] += np.bincount(p[first], minlength=len(near)) + np.bincount(q[first], minlength=len(near))
+
+        a, b = small_pairs(bounds)
+        for lo in range(0, len(a), 50_000):
+            count(a[lo : lo + 50_000], b[lo : lo + 50_000])
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            for k in range(lo, hi) if hi - lo > SMALL else ():
+                others = np.arange(k + 1, hi)
+                count(np.full(len(others), k), others)
+        some = near > 0
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes().hex() for x in raw[some]], pa.string()), pa.array(near[some])], names=["fingerprint", "n"])
+
+    counted = map_groups(dealt, ["tab", "value", "cell_a", "cell_b"], "rep", ["mine", "print"], compare, "fingerprint string, n long")
+    return counted.groupBy("fingerprint").agg(F.sum("n").alias("n_near"))

@@ -275,7 +275,10 @@ def test_frequent_passages_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = removed_by_brute_force(docs, 200)
     monkeypatch.setattr(suffixes, "SAMPLE", 1)
-    assert len(suffixes._frequent(df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), 8, 200)) > 0
+    rows = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    assert len(suffixes._frequent(rows, 8, 200)[0]) > 0 and suffixes._frequent(rows, 8, 200)[1] == 8
+    monkeypatch.setattr(suffixes, "BUCKET", 9000)
+    assert suffixes._frequent(rows, 8, 200)[1] > 8
     assert Counter(taken(suffixes.repeat_digests(df, 200))) == want
 
 
@@ -310,15 +313,45 @@ def test_fingerprints(odd_docs, no_docs):
     assert simhash.edited_fingerprints(no_docs).count() == 0
 
 
-def test_all_fingerprints_within_radius(spark):
-    import random
-
+@pytest.mark.parametrize("block,radius", [(1024, 3), (5, 3), (1024, 6)])
+def test_all_fingerprints_within_radius(spark, monkeypatch, block, radius):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(6)
     prints = [rng.getrandbits(128) for _ in range(30)]
     prints += [p ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(1, 6))) for p in prints for _ in range(3)]
-    df = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
-    want = {(f"{min(a, b):032x}", f"{max(a, b):032x}") for a, b in itertools.combinations(set(prints), 2) if (a ^ b).bit_count() <= 3}
-    assert {(r.a, r.b) for r in simhash.within_radius(df, 3).collect()} == want
+    prints += [prints[0] ^ (1 << k) ^ (1 << 127 - k) for k in range(60)] + prints[:5]  # a crowd, and repeats
+    df = spark.createDataFrame([(f"{p:032x}",) for p in prints] + [(None,)], "fingerprint string")
+    want = Counter()
+    for a, b in itertools.combinations(set(prints), 2):
+        if (a ^ b).bit_count() <= radius:
+            want.update([f"{a:032x}", f"{b:032x}"])
+    assert {r.fingerprint: r.n_near for r in simhash.within_radius(df, radius).collect()} == want
+    if radius == 6:
+        got = simhash.with_near(df.withColumn("k", F.lit(1)), radius)
+        assert got.count() == len(prints) + 1 and {r.fingerprint: r.n_near for r in got.collect() if r.n_near} == want
+
+
+def test_fingerprint_values_by_plain_votes(spark):
+    """Every bit of a fingerprint is the sign of the weighted votes of terms."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomgraph.llm.text import U, mix, shingles, word_hashes
+
+    texts = ["One two three two THREE one two", "lone", "", "a b a b a b c"]
+    got = simhash.fingerprints(pa.array(texts))
+    for text, print_ in zip(texts, got, strict=True):
+        ws = text.lower().split()
+        terms = Counter(" ".join(ws[k : k + 2]) for k in range(max(1, len(ws) - 1))) if ws else {}
+        votes = [0] * 128
+        for term, n in terms.items():
+            raw = np.frombuffer(term.encode(), np.uint8)
+            h = shingles(*word_hashes(raw, np.array([0, len(raw)])), 2)[0]
+            bits = np.unpackbits(np.stack([h, mix(h + U(1))], axis=1).view(np.uint8))
+            for k in range(128):
+                votes[k] += n if bits[k] else -n
+        assert np.unpackbits(print_).tolist() == [int(v > 0) for v in votes]
+    assert simhash.likeness(got[:1], got[:1])[0] == 1 and math.isclose(simhash.likeness(got[:1], got[1:2])[0], max(0, math.cos(math.pi * np.unpackbits(got[0] ^ got[1]).sum() / 128)))
 
 
 # ---- Jaccard join
