@@ -44,7 +44,7 @@ from ..session import cut
 from .grouped import map_groups
 from .text import U, chunks, prefix_hash, span_hash, strings
 
-LENGTH, K, SAMPLE, RUN_BYTES = 200, 32, 16, 48 << 20
+LENGTH, K, SAMPLE, RUN_BYTES, BUCKET = 200, 32, 16, 48 << 20, 32 << 20
 _PLACE = U((1 << 28) - 1)
 _TOP = U(1 << 63)
 
@@ -303,9 +303,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text_hash, windows array<struct<first,last>>: the starts of the
     windows of each document that start anywhere else as well."""
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    held = spark.sparkContext.broadcast(_frequent(rows, buckets, length))
+    frequent, buckets = _frequent(rows, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), length)
+    held = spark.sparkContext.broadcast(frequent)
     runs = _runs(rows, buckets, length, held)
 
     def merge(t: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -355,9 +355,11 @@ def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _frequent(rows: DataFrame, buckets: int, length: int) -> np.ndarray:
+def _frequent(rows: DataFrame, buckets: int, length: int) -> tuple[np.ndarray, int]:
     """Hashes of K-byte strings that are a bucket's share of all suffixes or
-    more, as a sample of documents shows; at most about buckets * length."""
+    more, as a sample of documents shows (at most about buckets * length), and
+    the buckets: as many as given, or more so that each has BUCKET bytes of text
+    at most, by the sample's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,8 +373,9 @@ def _frequent(rows: DataFrame, buckets: int, length: int) -> np.ndarray:
     part = rows.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SAMPLE)) == 0).select("text")
     seen = cut(part.mapInArrow(run, "h long, n long, bytes long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), "suffix-frequent")
     total = seen.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(buckets, -(-total * SAMPLE // BUCKET))
     share = max(24, total / ((length - K) / 2) / buckets)
-    return seen.where(F.col("n") >= share).select("h").toArrow()["h"].to_numpy().view(U)
+    return seen.where(F.col("n") >= share).select("h").toArrow()["h"].to_numpy().view(U), buckets
 
 
 def cut_out(raw: bytes, windows: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
