@@ -32,26 +32,48 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def watch(changes: DataFrame, state_path: str, checkpoint: str, on_change: Callable[[DataFrame, int], None], on_error: Callable[[Exception, int], None] | None = None):
-    """A streaming query over changes; returns the writer, ready to start."""
+    """A streaming query over changes; returns the writer, ready to start.
+
+    Batch n writes version n of the state from version n - 1; a version that is
+    missing is an error, never an empty state. The last two versions stay, so a
+    batch can be repeated. With ``on_error`` neither a batch that can't be merged
+    nor a failing callback stops the watch; the former leaves the state as it was.
+    """
     spark = changes.sparkSession
+    jvm = spark.sparkContext._jvm
+
+    def place(n: int):
+        at = jvm.org.apache.hadoop.fs.Path(f"{state_path}/v{n}")
+        return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(n: int) -> DataFrame:
-        path = f"{state_path}/v{n}"
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        if n >= 0 and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return spark.read.schema(STATE).parquet(path)
-        return spark.createDataFrame([], STATE)
+        if n < 0:
+            return spark.createDataFrame([], STATE)
+        at, store = place(n)
+        if not store.exists(at):
+            raise FileNotFoundError(f"version {n} of the state is missing from {state_path}")
+        return spark.read.schema(STATE).parquet(f"{state_path}/v{n}")
 
     def batch(df: DataFrame, n: int) -> None:
         before = version(n - 1)
-        merge(before, df).write.mode("overwrite").parquet(f"{state_path}/v{n}")
+        write = lambda rows: rows.write.mode("overwrite").parquet(f"{state_path}/v{n}")
+        try:
+            write(merge(before, df))
+        except Exception as e:  # noqa: BLE001
+            if on_error is None:
+                raise
+            write(before)
+            on_error(e, n)
+            return
         try:
             on_change(difference(before, version(n)), n)
         except Exception as e:  # noqa: BLE001  a bad callback doesn't stop the watch
             if on_error is None:
                 raise
             on_error(e, n)
+        if n > 1:
+            at, store = place(n - 2)
+            store.delete(at, True)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
