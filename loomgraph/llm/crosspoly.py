@@ -70,7 +70,14 @@ def _usable() -> F.Column:
     return F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists(e, lambda v: v != 0), F.lit(False))
 
 
-def _hashed(reps: DataFrame, tables: int) -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, in double precision."""
+    x = x.astype(float)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _hashed(reps: DataFrame, tables: int, width: type) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vectors = b.column(2).to_pylist()
@@ -79,10 +86,8 @@ def _hashed(reps: DataFrame, tables: int) -> DataFrame:
             unit: list = [None] * len(vectors)
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                x = np.array([vectors[k] for k in at], float)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for k, v, c in zip(at, x, probes(x, tables).reshape(len(at), -1), strict=True):
+                x = np.array([vectors[k] for k in at], width)
+                for k, v, c in zip(at, x, probes(_unit(x), tables).reshape(len(at), -1), strict=True):
                     unit[k], codes[k] = v.tobytes(), c.astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(unit, pa.binary()), pa.array(codes, pa.list_(pa.int32())), b.column(3)], names=["rep", "lab", "dim", "vec", "codes", "copies"])
 
@@ -96,7 +101,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES)
     good = keyed.where(_usable()).withColumn("same", F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("embedding").cast("string")), 256))
     good = cut(good, "cp-rows")
     reps = good.groupBy("same").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("rep", F.xxhash64("same"))
-    hashed = cut(_hashed(reps, tables), "cp-codes")
+    #: vectors move as they are stored, and are scaled where they are compared
+    width = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    hashed = cut(_hashed(reps, tables, width), "cp-codes")
     names = reps.select("same", "rep", "low", "copies")
 
     placed = hashed.select("rep", "lab", "dim", F.posexplode(F.expr("codes")).alias("slot", "code")).withColumn("tab", F.floor(F.col("slot") / 3).cast("int")).drop("slot")
@@ -108,7 +115,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES)
         n = t.num_rows
         rep, copies, mine, cell_a, cell_b, tab, code, dim = (t[c].to_numpy() for c in ("rep", "copies", "mine", "cell_a", "cell_b", "tab", "code", "dim"))
         codes = t["codes"].combine_chunks().flatten().to_numpy().reshape(n, -1, 3)
-        vec = np.frombuffer(b"".join(t["vec"].to_pylist()), float)
+        flat = np.frombuffer(b"".join(t["vec"].to_pylist()), width)
         begin = np.concatenate([[0], np.cumsum(dim)])
         links, left, right = np.zeros(n, np.int64), [], []
 
@@ -130,7 +137,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES)
                 np.add.at(links, q[first], copies[p[first]])
 
         wide = dim[0]
-        x = vec.reshape(n, wide) if (dim == wide).all() else None
+        x = _unit(flat.reshape(n, wide)) if (dim == wide).all() else None
+        vec = x.ravel() if x is not None else np.concatenate([_unit(flat[begin[k] : begin[k + 1]][None])[0] for k in range(n)])
         a, b = small_pairs(bounds)
         for lo in range(0, len(a), 50_000):
             p, q = a[lo : lo + 50_000], b[lo : lo + 50_000]
