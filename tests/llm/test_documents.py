@@ -87,6 +87,27 @@ def test_shards(odd_docs, no_docs):
     assert sharding.shard_by_bytes(no_docs, 4).count() == 0
 
 
+@pytest.mark.parametrize("shards,copies", [(8, 1), (5, 4), (3, 60)])
+def test_cuts_are_the_nearest_ones(spark, shards, copies):
+    """The stream that (shard, slot) implies, cut again in plain Python: each cut
+    is the row edge next to its target, or the near edge of a run of equal texts."""
+    rng = random.Random(shards)
+    rows = [(k, f"t{k // copies} " * rng.randrange(1, 40) if copies == 1 else f"text {k // copies} " * (1 + k // copies % 17)) for k in range(400)]
+    got = sorted(sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect(), key=lambda r: (r.shard, r.slot))
+    ends, runs, at = [0], {}, 0
+    for r in got:
+        begin, _ = runs.get(r.text_crc32, (at, at))
+        at += r["size"]
+        runs[r.text_crc32] = (begin, at)
+        ends.append(at)
+    for k in range(1, shards):
+        target, cut = -(-at * k // shards), sum(r["size"] for r in got if r.shard < k)
+        run = next(x for x in runs.values() if x[0] < target <= x[1])
+        edge = min(run, key=lambda x: (abs(x - target), x))
+        want = edge if abs(edge - target) <= 0.02 * at / shards else min(ends, key=lambda x: (abs(x - target), x))
+        assert abs(cut - target) == abs(want - target)
+
+
 def test_copies_stay_together(spark):
     df = spark.createDataFrame([(k, f"text {k // 3} " * 5) for k in range(900)], "doc_id long, text string")
     got = sharding.shard_by_bytes(df, 8).join(df, "doc_id")

@@ -177,7 +177,30 @@ def test_pipeline_against_brute_force(spark, odd_docs, tmp_path):
     first = [(r.doc_id, r.text) for r in seen["language"].collect()]
     kept = Counter(r.doc_id for r in seen["near_duplicates"].collect())
     assert kept == Counter({d for d, c, _ in classes_by_brute_force(first) if d == c})
-    mixed = seen["mix"].collect()
+    #: repeats, by the strings that occur twice
+    second = [(r.doc_id, r.text) for r in seen["near_duplicates"].collect()]
+    strings = Counter(x for _, t in second for raw in [(t or "").encode()] for x in (raw[i : i + 200] for i in range(len(raw) - 199)))
+    want = Counter()
+    for d, t in second:
+        raw = (t or "").encode()
+        gone = {j for i in range(len(raw) - 199) if strings[raw[i : i + 200]] > 1 for j in range(i, i + 200)}
+        want[d, bytes(x for j, x in enumerate(raw) if j not in gone).decode("utf-8", "ignore")] += 1
+    third = seen["repeats"].collect()
+    assert Counter((r.doc_id, r.text or "") for r in third) == want and all(r.n_chars == len(r.text or "") for r in third)
+    #: the mix: every source near its target, no document above twice its words
+    words = lambda rows: Counter({s: sum(len((r.text or "").encode().split()) for r in rows if r.source == s) for s in {r.source for r in third}})
+    sizes, mixed = words(third), seen["mix"].collect()
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    goal, free, left = {}, set(order), 1.5 * sum(sizes.values())
+    while over := [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * sizes[s]]:
+        for s in over:
+            goal[s] = 2 * sizes[s]
+        free -= set(over)
+        left = 1.5 * sum(sizes.values()) - sum(goal.values())
+    goal |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    assert all(abs(words(mixed)[s] - goal[s]) <= max(2, 0.02 * goal[s]) or len([r for r in third if r.source == s]) < 3 for s in order)
+    assert max(Counter(r.doc_id for r in mixed).values()) <= 2 and {(r.doc_id, r.text) for r in mixed} <= {(r.doc_id, r.text) for r in third}
     coder = tokenizer(public_tokenizers.path(corpus_pipeline.TOKENIZER), public_tokenizers.PATTERN)
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
     want = Counter()
