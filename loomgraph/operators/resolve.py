@@ -24,8 +24,10 @@ JS_EXTENSIONS = (".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs")
 JS_INDEX = ("/index.js", "/index.ts")
 JS_SWAP = ((".js", (".ts", ".tsx")), (".mjs", (".mts",)), (".cjs", (".cts",)))
 SOURCE_EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
+#: fixed values: folders of built files, and conditions of exports in order
 BUILD_FOLDERS = ("dist", "build", "lib", "out", "output", "es", "esm", "cjs", ".output")
 CONDITIONS = ("import", "require", "node", "default")
+#: fixed values: names that the runtimes define
 GLOBAL_NAMES = (
     "console", "JSON", "Math", "Object", "Array", "Promise", "Number", "String", "Date", "process", "Buffer", "Set", "Map", "RegExp", "Error", "Symbol", "Boolean", "URL",
     "fetch", "setTimeout", "clearTimeout", "setInterval", "clearInterval", "parseInt", "parseFloat", "isNaN", "structuredClone", "queueMicrotask", "require", "import",

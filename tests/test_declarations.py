@@ -4,7 +4,7 @@ import pytest
 
 from loomgraph.operators.extract import decorator_routes, dynamic_env_reads, env_reads, extract_file
 from loomgraph.plans import project
-from loomgraph.sources.project import module_scripts, script_references
+from loomgraph.sources.project import module_scripts, scan, script_references
 
 CASES = {
     "python": ("a.py", "import os, a.b as c\nfrom .x import (y as z,\n  w)\nfrom . import q\nfrom m import *\nasync def go(a):\n    def inner(): pass\nclass K:\n    def _p(self): pass\nclass _H: pass\n# def no(): pass\n'''\ndef doc(): pass\n'''\nif __name__ == \"__main__\":\n    go()\n",
@@ -58,3 +58,11 @@ def test_routes_outputs_and_scripts(spark):
     assert [tuple(r) for r in script_references(rows).collect()] == [("index.html", "b.js", 2)]
     assert project.declared_outputs("npx esbuild a.ts --outfile=./web/x.js -o 'b c.js'") == ["web/x.js", "b c.js"] and project.declared_outputs("cp --file a b") == []
     assert project.started_script("NODE_ENV=x node --inspect src/a.mjs --y") == "src/a.mjs" and project.started_script("nodemon a.js") is None
+
+
+def test_scan_opens_only_what_it_reads(spark, tmp_path):
+    for name, text in {"src/a.js": "let a", "README.md": "x", "b.py": "b", ".env.example": "A=1", "node_modules/c.js": "c", ".hid/d.js": "d", "e.bin": "\0"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert {(r.file, r.text) for r in scan(spark, str(tmp_path)).collect()} == {("src/a.js", "let a"), ("b.py", "b")}
+    assert {r.file for r in scan(spark, str(tmp_path), names="*.md").collect()} == {"README.md"}
