@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import detectors, diff, findings, graph, ordering, resolve, score, search
+from ..operators import detectors, diagnose, diff, findings, graph, ordering, resolve, score, search
 from ..operators.components import connected_components
 from ..session import table
 from ..sources.project import tag_attributes
@@ -980,3 +980,82 @@ def k4_plan(t):
 @query("o5_solutions_top", "select p_brand as cluster, max(p_retailprice) as priority from part group by 1 order by 2 desc, 1 limit 10")
 def o5(t):
     return findings.top_solutions(t("part").groupBy(F.col("p_brand").alias("cluster")).agg(F.max("p_retailprice").alias("priority")), 10)
+
+
+KINDS = ("parse-failure", "export-removed", "workflow-removed", "confidence-regression", "orphan", "monolith")
+
+
+def part_findings(t) -> DataFrame:
+    """Parts as findings about the suppliers that their lines name."""
+    files = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("files"))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    return t("part").join(files, "p_partkey", "left").select(
+        F.col("p_partkey").alias("id"), pick(KINDS, F.col("p_size") % 6).alias("kind"), pick(("high", "medium", "low"), F.col("p_size") % 3).alias("severity"),
+        "files", F.when(F.col("p_size") % 7 == 0, F.lit("3")).alias("workflow"),
+    )
+
+
+@query("k5_fix_impact", f"""with f as (select l_partkey, list(distinct l_suppkey) files from lineitem group by 1),
+x as (select p_partkey id, {list(KINDS)}[1 + p_size % 6] kind, ['high', 'medium', 'low'][1 + p_size % 3] severity, files, case when p_size % 7 = 0 then ['3'] else [] end named from part left join f on l_partkey = p_partkey),
+h as (select id, count(*) n, count_if(s_acctbal > 0) good, list(distinct s_nationkey::varchar) homes from (select id, unnest(files) s_suppkey from x) join supplier using (s_suppkey) where s_nationkey % 5 <> 0 group by 1),
+w as (select x.*, coalesce(n, 0) n, coalesce(good, 0) good, list_sort(list_distinct(list_concat(named, coalesce(homes, [])))) wfs from x left join h using (id))
+select id, case kind when 'parse-failure' then 'medium' when 'export-removed' then 'high' when 'workflow-removed' then 'high' when 'confidence-regression' then 'medium' else severity end as risk,
+coalesce(len(files), 0) as n_files, n as in_workflow, good as tested, n - good as untested, array_to_string(wfs, ',') as workflows, len(wfs) as blast_radius from w""")
+def k5(t):
+    homes = t("supplier").where("s_nationkey % 5 <> 0").select(F.col("s_suppkey").cast("string").alias("file"), F.col("s_nationkey").cast("string").alias("workflow"))
+    status = F.when(F.col("s_acctbal") > 5000, "tested-real").when(F.col("s_acctbal") > 0, "tested-shallow").otherwise("tested-nameonly")
+    credit = t("supplier").select(F.col("s_suppkey").cast("string").alias("file"), status.alias("status"))
+    impact = diagnose.fix_impact(part_findings(t), homes, credit)
+    numbers = [F.col(c).cast("long").alias(c) for c in ("n_files", "in_workflow", "tested", "untested", "blast_radius")]
+    return impact.select("id", "risk", *numbers, F.array_join("workflows", ",").alias("workflows"))
+
+
+@query("k5_parse_gain", f"""with {SIGNALS_SQL}, share as (select c_nationkey workflow, count_if(c_acctbal < 0) / count(*) d from customer group by 1),
+a as (select sig.workflow, signal, case when signal = 'parseIntegrity' then least(value + d, 1.0) else value end v, weight from sig join share using (workflow)),
+s2 as (select workflow, sum(v * weight) / sum(case when v is not null then weight end) s from a group by 1)
+select workflow, round(score, 6) as before, round(s, 6) as after, round(s - score, 6) as delta from sc join s2 using (workflow) where abs(s - score) > 1e-9""")
+def k5_gain(t):
+    homes = t("customer").select(F.col("c_custkey").alias("file"), F.col("c_nationkey").alias("workflow"))
+    gain = diagnose.parse_gain(t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("file")), homes, nation_signals(t))
+    return gain.select("workflow", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta")])
+
+
+@query("k13_health", """with b as (select distinct o_custkey k from orders where o_orderpriority <> '1-URGENT'), a as (select distinct o_custkey k from orders where o_orderpriority = '1-URGENT'),
+c as (select (select count(*) from orders where o_orderpriority <> '1-URGENT') n, (select count(*) from orders where o_orderpriority = '1-URGENT') m, (select count(*) from b) p, (select count(*) from a) q)
+select 'confidence-dropped' as issue, n||' -> '||m as subject from c where m < n union all select 'fewer-workflows', p||' -> '||q from c where q < p union all select 'workflow-gone', cast(k as varchar) from b anti join a using (k)""")
+def k13(t):
+    """Customers as workflows: those with plain orders before, with urgent ones after."""
+    early = F.col("o_orderpriority") != "1-URGENT"
+    orders = t("orders").select(F.col("o_custkey").alias("workflow"), early.alias("early"))
+    confidence = orders.agg(F.count_if("early").alias("before"), F.count_if(~F.col("early")).alias("after"))
+    return diagnose.post_apply_health(orders.where("early"), orders.where("not early"), confidence)
+
+
+@query("k7_weak_workflows", f"""with {SIGNALS_SQL}, weak as (select workflow, list_sort(list(signal)) w from sig where value is null or value < 0.7 group by 1)
+select workflow, round(score, 6) as score, array_to_string(coalesce(w, []), ',') as weak from sc left join weak using (workflow) where score < 0.5 or w is not null order by coalesce(sc.score, 1), workflow limit 8""")
+def k7_weak(t):
+    return diagnose.weak_workflows(nation_signals(t), 0.5, 8).select("workflow", F.round("score", 6).alias("score"), F.array_join("weak", ",").alias("weak"))
+
+
+@query("k7_advice", """with f as (select avg(case when o_orderstatus = 'F' then 1.0 else 0 end) conf, count_if(o_orderpriority = '1-URGENT') low, count_if(o_orderpriority = '0') unresolved, count_if(o_totalprice < 0) bad from orders)
+select unnest(list_filter([case when conf < 0.8 then 1 end, case when low > 0 then 2 end, case when unresolved > 0 then 3 end, case when bad > 0 then 4 end, 6], lambda x: x is not null)) as ord from f""")
+def k7_advice(t):
+    facts = t("orders").agg(
+        F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("repo_confidence"), F.lit(0.8).alias("threshold"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("low_test_presence"),
+        F.lit(1.0).alias("call_rate"), F.count_if(F.col("o_orderpriority") == "0").alias("unresolved_calls"), F.lit(0).alias("dynamic_calls"), F.count_if(F.col("o_totalprice") < 0).alias("unresolved_imports"),
+        F.lit(None).cast("long").alias("unmapped_scripts"), F.count("*").alias("env_keys"), F.lit(False).alias("env_example"), F.lit(0).alias("unsupported_files"), F.lit(0).alias("heuristic_files"),
+    )
+    return diagnose.recommendations(facts).select("ord")
+
+
+CONTEXT_KINDS = ("hit", "conversation", "workflows", "package", "findings", "changes", "task", "summary", "other")
+
+
+@query("q4_context", f"""with k as (select conv_id, turn, text, {list(CONTEXT_KINDS)}[1 + turn % 9] kind, [5.0, 7.0, 8.0, 8.7, 8.8, 9.0, 9.5, 10.0, null][1 + turn % 9] pr from conversations),
+one as (select *, length(text) n from k where pr is not null and length(trim(text)) > 0 qualify row_number() over (partition by conv_id, trim(text) order by pr desc, turn) = 1),
+p as (select *, coalesce(sum(n) over (partition by conv_id order by pr desc, turn rows between unbounded preceding and 1 preceding), 0) b from one)
+select conv_id, turn, kind, substr(text, 1, cast(700 - b as int)) as packed from p where b < 700""")
+def q4(t):
+    kind = F.element_at(F.array(*map(F.lit, CONTEXT_KINDS)), (F.col("turn") % 9 + 1).cast("int"))
+    parts = t("conversations").select("conv_id", kind.alias("kind"), F.col("turn").alias("ord"), "text")
+    return diagnose.assemble_context(parts, 700, ["conv_id"]).select("conv_id", F.col("ord").alias("turn"), "kind", "packed")
