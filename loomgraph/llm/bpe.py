@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .grouped import map_arrow
+
 CACHE = 400_000
 
 
@@ -162,7 +164,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> D
             ids = [bpe.encode(t or "") for t in b.column(len(names) - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).transform(map_arrow, run, schema)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -180,4 +182,4 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(map_arrow, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

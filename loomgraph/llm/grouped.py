@@ -8,7 +8,9 @@ together in vectors. Groups must be bounded (see :func:`block_pairs`).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,35 @@ from pyspark.sql import functions as F
 
 SMALL = 48
 
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) for texts: batches of BATCH_BYTES, and workers
+    that hand their free memory back when a task is over.
+
+    A batch of 10,000 texts takes several times its bytes on both sides of the
+    pipe, and Python workers live on for the next tasks: what the allocators of
+    Arrow and of the C library keep for later would count in every stage that
+    follows. The bound is a setting of the session, as the plan runs after this
+    returns; one that the session names itself stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+    @wraps(run)
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(lean, schema)
+
 
 def block_pairs(members: DataFrame, count: str, order: str, block: int) -> DataFrame:
     """Deal members of groups out to pairs of blocks of about ``block`` rows.
@@ -71,7 +102,7 @@ def map_groups(df: DataFrame, keys: list[str], then: str, columns: list[str], fn
 
     rows = df.select(*keys, then, *columns)
     dealt = rows.repartitionById(tasks, F.col(keys[0])) if tasks else rows.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys, then).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys, then).transform(map_arrow, run, schema)
 
 
 def small_pairs(bounds: np.ndarray, most: int = SMALL) -> tuple[np.ndarray, np.ndarray]:

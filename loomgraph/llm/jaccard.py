@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, spanning
 from ..session import cut, discard
-from .grouped import SMALL, block_pairs, fixed, map_groups, small_pairs
+from .grouped import SMALL, block_pairs, fixed, map_arrow, map_groups, small_pairs
 from .text import U, chunks, mix, shingles, strings, word_hashes
 
 TREES, DEPTH, RECALL, BLOCK, LOOSE = 16, 8, 0.999, 512, 0.17
@@ -87,7 +87,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 sigs.append(signature(terms).tobytes() if len(terms) else None)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "set", "sig"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, set binary, sig binary")
+    return rows.transform(map_arrow, run, "doc_id long, text_hash long, set binary, sig binary")
 
 
 def forest_links(labels: np.ndarray, sig: np.ndarray, bounds: np.ndarray, least: float, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import map_arrow
 from .text import U, chunks, mix, strings
 
 DIMS, CELLS, CENTROIDS, ROUNDS, REJECT = 1 << 15, 768, 4, 8, 0.03
@@ -224,7 +225,7 @@ def identify(docs: DataFrame, model: Centroids | None, reject: float = REJECT) -
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return docs.transform(map_arrow, run, f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id="doc_id", folds: int = 4) -> F.Column:

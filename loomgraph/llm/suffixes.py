@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .grouped import map_groups
+from .grouped import map_arrow, map_groups
 from .text import U, chunks, prefix_hash, span_hash, strings
 
 LENGTH, K, SAMPLE, RUN_BYTES, BUCKET = 200, 32, 16, 48 << 20, 32 << 20
@@ -262,7 +262,7 @@ def _runs(rows: DataFrame, buckets: int, length: int, held) -> DataFrame:
                         size = 0
         yield from flush()
 
-    return rows.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id"), "text_hash", "text").mapInArrow(run, "bucket int, tie int, run binary")
+    return rows.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id"), "text_hash", "text").transform(map_arrow, run, "bucket int, tie int, run binary")
 
 
 def _unpack(blob: bytes) -> tuple[Iterator[tuple[bytes, int, tuple]], np.ndarray, np.ndarray]:
@@ -371,7 +371,7 @@ def _frequent(rows: DataFrame, buckets: int, length: int) -> tuple[np.ndarray, i
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(h[some].view(np.int64), 0)), pa.array(np.append(n[some], 0).astype(np.int64)), pa.array(np.append(np.zeros(some.sum(), np.int64), total))], names=["h", "n", "bytes"])
 
     part = rows.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SAMPLE)) == 0).select("text")
-    seen = cut(part.mapInArrow(run, "h long, n long, bytes long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), "suffix-frequent")
+    seen = cut(part.transform(map_arrow, run, "h long, n long, bytes long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), "suffix-frequent")
     total = seen.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(buckets, -(-total * SAMPLE // BUCKET))
     share = max(24, total / ((length - K) / 2) / buckets)
@@ -420,7 +420,7 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = _with_windows(docs.select("doc_id", "text"), length).select("doc_id", "text", "windows")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.transform(map_arrow, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -440,4 +440,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _with_windows(docs, length).select(*names, "windows").mapInArrow(run, fields)
+    return _with_windows(docs, length).select(*names, "windows").transform(map_arrow, run, fields)
