@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .grouped import map_arrow
+from .grouped import keep, map_arrow
 
 CACHE = 400_000
 
@@ -143,14 +143,9 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_loaded: dict[tuple[str, str], ByteBpe] = {}
-
-
 def tokenizer(path: str, pattern: str) -> ByteBpe:
-    """One instance a process."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBpe(path, pattern)
-    return _loaded[path, pattern]
+    """One instance a process, as long as its tasks encode."""
+    return keep(__name__, (path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:

@@ -22,6 +22,31 @@ SMALL = 48
 BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
+_kept: dict[str, dict] = {}
+
+
+def keep(owner: str, key, make: Callable):
+    """make(), kept in this process for the later tasks of the module ``owner``."""
+    held = _kept.setdefault(owner, {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def begin_task(owner: str) -> None:
+    """Drop what tasks of other modules left in this process."""
+    for other in [x for x in _kept if x != owner]:
+        del _kept[other]
+
+
+def end_task() -> None:
+    """Hand free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(run, schema) for texts: batches of BATCH_BYTES, and workers
     that hand their free memory back when a task is over.
@@ -38,13 +63,11 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     @wraps(run)
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(run.__module__)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
-            if trim:
-                trim(0)
+            end_task()
 
     return df.mapInArrow(lean, schema)
 
