@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .bpe import token_digests
 from .class_lm import class_scores
+from .contamination import contamination_digests
 from .crosspoly import near_vectors
 from .jaccard import jaccard_join
 from .langid import held_out, language_of
@@ -66,6 +67,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links")
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in windows of ten words of the benchmark."""
+    return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -77,5 +83,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mincut": op8_mincut,
     "op9_crosspoly": op9_crosspoly,
     "op10_jaccard": op10_jaccard,
+    "op12_decontamination": op12_decontamination,
+}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAK_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES: dict[str, str] = {
+    "op12_decontamination": f"""
+        WITH d AS (SELECT doc_id, coalesce({_LEAK_WORDS}, []) AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_LEAK_WORDS} AS w FROM benchmark),
+        bw AS (SELECT item_id, j, least(len(w), 10) AS m, array_to_string(w[j:j + least(len(w), 10) - 1], ' ') AS win
+               FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS j FROM b WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+               FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+        hit AS (SELECT doc_id, i, j, m, item_id FROM dw JOIN bw USING (m, win)),
+        hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
+        islands AS (SELECT doc_id, m, i - row_number() OVER (PARTITION BY doc_id, item_id, m, i - j ORDER BY i) AS island, item_id, i - j AS diagonal FROM hit),
+        far AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) + m - 1 AS n FROM islands GROUP BY doc_id, m, item_id, diagonal, island) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN far USING (doc_id)
+    """,
 }
-ORACLES: dict[str, str] = {}

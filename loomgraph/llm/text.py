@@ -122,3 +122,19 @@ def shingles(word_hash: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[n
         inside = i < last
         out += np.where(inside, word_hash[np.minimum(i, max(n - 1, 0))] if n else out, U(0)) * U(pow(_BASE, 2 * k + 1, 1 << 64))
     return mix(out), begin
+
+
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first run of each row): maximal runs of the marked bytes of
+    a chunk of rows; no run crosses rows."""
+    n = len(inside)
+    mark = np.zeros(n + 1, bool)
+    mark[:n] = inside
+    begin = mark[:n].copy()
+    begin[1:] &= ~mark[: max(n - 1, 0)]
+    end = mark[:n] & ~mark[1:]
+    edge = off[(off > 0) & (off < n)]
+    begin[edge] |= mark[edge]
+    end[edge - 1] |= mark[edge - 1]
+    start = np.flatnonzero(begin)
+    return start, np.flatnonzero(end) + 1, np.searchsorted(start, off)
