@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .bpe import token_digests
 from .class_lm import class_scores
+from .collocations import collocations
 from .contamination import contamination_digests
 from .crosspoly import near_vectors
 from .jaccard import jaccard_join
@@ -72,6 +73,11 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language, of 30 occurrences or more."""
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_crosspoly": op9_crosspoly,
     "op10_jaccard": op10_jaccard,
     "op12_decontamination": op12_decontamination,
+    "op13_collocations": op13_collocations,
 }
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LEAK_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -104,4 +111,22 @@ ORACLES: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN far USING (doc_id)
     """,
+    "op13_collocations": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        lists AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+        grams AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+                  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM lists, range(1, 5) AS sizes(size) WHERE len(w) >= size)),
+        f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+        cuts AS (SELECT lang, phrase, a, w, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+        scored AS (SELECT cuts.lang, cuts.phrase, a, k, x.n AS l, y.n AS r, CAST((2000000::HUGEINT * a) // (x.n::HUGEINT + y.n) AS BIGINT) AS score
+                   FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+        one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, array_to_string(w[b:b + m - 1], ' ') AS phrase, max(a) AS over
+                   FROM (SELECT *, unnest(range(1, size - m + 2)) AS b FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size > 2)) GROUP BY ALL),
+        kept AS (SELECT one.* FROM one LEFT JOIN inside USING (lang, phrase) WHERE over IS NULL OR 100::HUGEINT * over < 80::HUGEINT * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+    """,
 }
