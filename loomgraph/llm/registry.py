@@ -19,6 +19,7 @@ from .mincut import extract_pages
 from .mixing import mix_plan
 from .sharding import shard_by_bytes
 from .simhash import edited_fingerprints, with_near
+from .spelling import spelling_variants
 from .suffixes import repeat_digests
 
 
@@ -68,6 +69,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of five letters and three occurrences with its best near word."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in windows of ten words of the benchmark."""
     return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mincut": op8_mincut,
     "op9_crosspoly": op9_crosspoly,
     "op10_jaccard": op10_jaccard,
+    "op11_spelling": op11_spelling,
     "op12_decontamination": op12_decontamination,
     "op13_collocations": op13_collocations,
 }
