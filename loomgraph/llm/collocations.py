@@ -150,8 +150,8 @@ def _merge(least: int):
                 if k < 0:
                     langs[lang] = langs.get(lang, 0) + n
                     continue
-                part = np.frombuffer(unpack.decompress(cells), np.uint16)
-                part = np.minimum(np.where(part == LIMIT, least, part), least).astype(np.uint32)
+                part = np.frombuffer(unpack.decompress(cells), np.uint16).astype(np.int64)
+                part = np.minimum(np.where(part == LIMIT, least, part), least)
                 sums[k] = np.minimum(sums[k] + part, least) if k in sums else part
         for k, part in sums.items():
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "lang": [""], "n": [0], "cells": pa.array([np.packbits(part >= least, bitorder="little").tobytes()], pa.binary())})
