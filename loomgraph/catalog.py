@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import sample, stored, tables  # noqa: F401  stored registers with tables
+from .plans import sample, stored, tables, work  # noqa: F401  stored and work register with tables
 
 QUERIES: dict = tables.QUERIES | sample.QUERIES
 ORACLES: dict[str, str] = dict(tables.ORACLES)

@@ -468,7 +468,11 @@ def w6(t):
     return ordering.pack(items, 500, ["conv_id"]).select("conv_id", F.col("ord").alias("turn"), "packed")
 
 
-@query("w7_greedy_fill")
+@query("w7_greedy_fill", """with recursive o as (select p_brand, p_partkey id, p_size::double effort, p_retailprice lift,
+  row_number() over (partition by p_brand order by p_retailprice / p_size::double desc, p_retailprice desc, p_partkey) pos from part where p_size > 0),
+f as (select distinct p_brand, 0::bigint pos, 120.0::double rest, false took, null::bigint id, null::double effort, null::double lift from o
+  union all select o.p_brand, o.pos, case when o.effort <= f.rest then f.rest - o.effort else f.rest end, o.effort <= f.rest, o.id, o.effort, o.lift from f join o on o.p_brand = f.p_brand and o.pos = f.pos + 1)
+select p_brand, id, effort, lift from f where took""")
 def w7(t):
     tasks = t("part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("effort"), F.col("p_retailprice").alias("lift"))
     return ordering.greedy_fill(tasks, 120.0, ["p_brand"])
