@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import sample, stored, tables, work  # noqa: F401  stored and work register with tables
+from .plans import derived, stored, tables, work  # noqa: F401  all register with tables
 
-QUERIES: dict = tables.QUERIES | sample.QUERIES
+QUERIES: dict = dict(tables.QUERIES)
 ORACLES: dict[str, str] = dict(tables.ORACLES)

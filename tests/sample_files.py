@@ -1,16 +1,8 @@
-"""Queries over a small project, for the operators that need source code."""
-
-from __future__ import annotations
+"""A small project of many kinds of files."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators import graph
-from ..operators.extract import env_reads, extract, functions_of
-from ..operators.findings import duplicate_groups, hotspots, legacy_dependencies
-from ..sources.project import routed
-from . import reports
-from .project import Project, analyze
+from loomgraph.plans.project import Project, analyze
 
 FILES = {
     "package.json": '{"name": "shop", "main": "dist/server.js", "type": "module", "scripts": {"start": "node src/cli.mjs", "pack": "esbuild src/server.ts --outfile=web/out.js"}, "dependencies": {"moment": "1"}}',
@@ -39,29 +31,3 @@ def sample_rows(spark: SparkSession) -> DataFrame:
 
 def sample(spark: SparkSession) -> Project:
     return analyze(sample_rows(spark), [("src/forgotten.js", "intentional-dormant")])
-
-
-def _project(fn):
-    return lambda spark, sf_dir: fn(sample(spark))
-
-
-def _files(fn):
-    return lambda spark, sf_dir: fn(sample_rows(spark))
-
-
-QUERIES = {
-    "s1_routed": _files(lambda r: routed(r).select("file", "lang", "skipped_reason")),
-    "x1_functions": _files(lambda r: functions_of(extract(routed(r))).drop("calls")),
-    "x2_duplicate_shapes": _files(lambda r: duplicate_groups(functions_of(extract(routed(r))))),
-    "x10_env_reads": _files(env_reads),
-    "p11_legacy_dependencies": _files(lambda r: legacy_dependencies(r.where("file = 'package.json'").select(F.explode(F.map_keys(F.from_json(F.get_json_object("text", "$.dependencies"), "map<string,string>"))).alias("package")))),
-    "r1_import_edges": _project(lambda p: p.import_edges),
-    "r14_call_edges": _project(lambda p: p.call_edges),
-    "e13_entry_points": _project(lambda p: p.entry_points),
-    "g3_import_cycles": _project(lambda p: graph.cycles(p.import_edges.where("to_file is not null").select(F.col("file").alias("src"), F.col("to_file").alias("dst")))),
-    "v1_reachability": _project(lambda p: p.reachability),
-    "v2_file_view": _project(reports.file_view),
-    "c1_workflow_scores": _project(reports.workflow_view),
-    "t1_test_credit": _project(lambda p: p.test_credit),
-    "k6_hotspots": _project(lambda p: hotspots(p.call_edges, p.workflow_files)),
-}

@@ -3,7 +3,9 @@
 import pytest
 
 from loomgraph.operators import diagnose
-from loomgraph.plans import reports, sample
+from loomgraph.plans import reports
+
+from .sample_files import sample, sample_rows
 
 FINDINGS = "id string, kind string, severity string, files array<string>, workflow string"
 
@@ -56,7 +58,7 @@ def test_context(spark):
 
 
 def test_diagnosis(spark):
-    d = reports.diagnosis(sample.sample(spark), sample.sample_rows(spark))
+    d = reports.diagnosis(sample(spark), sample_rows(spark))
     assert [(r.name, r.script, r.mapped) for r in d["scripts"].collect()] == [("start", "src/cli.mjs", True)]
     assert ("src/server.ts", "lost") in {(r.file, r.call) for r in d["calls"].collect()}
     facts = d["facts"].first()
