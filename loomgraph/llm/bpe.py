@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .grouped import keep, map_arrow
 
-CACHE = 400_000
+CACHE = 150_000
 
 
 class _Pieces(dict):
