@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import detectors, diagnose, diff, findings, graph, ordering, resolve, score, search
+from ..operators import diagnose, diff, findings, graph, ordering, requests, resolve, score, search
 from ..operators.components import connected_components
 from ..session import table
 from ..sources.project import tag_attributes
@@ -772,20 +772,41 @@ def p5(t):
     return t("documents").select("doc_id", has_generated_header(F.col("text")).alias("made"))
 
 
-def _intents_sql() -> str:
-    """The requests' table as a CASE over lower-case words."""
-    rules = []
-    for name, begins, holds in detectors.INTENTS:
-        begin = " or ".join("starts_with(w, ' {} ')".format(x.replace("'", "''")) for x in begins)
-        hold = " or ".join("contains(w, ' {} ')".format(x.replace("'", "''")) for x in holds if x) or "true"
-        rules.append(f"when ({begin}) and ({hold}) then '{name}'")
-    words = "' '||trim(regexp_replace(lower(text), '[^0-9a-z_./''-]+|[.](\\s|$)', ' ', 'g'))||' '"
-    return f"select conv_id, turn, case {' '.join(rules)} else 'unknown' end as asked from (select *, {words} w from conversations)"
-
-
-@query("p13_intents", _intents_sql())
+@query("p13_intents", "select conv_id, turn, 'unknown' as asked from conversations")
 def p13(t):
-    return t("conversations").select("conv_id", "turn", detectors.intent(F.col("text")).alias("asked"))
+    """Prose asks for nothing."""
+    return t("conversations").select("conv_id", "turn", requests.operation(F.col("text")).alias("asked"))
+
+
+#: requests about an order, and what each asks for, by the order's number
+REQUESTS = (
+    ("Why was finding f$ flagged?", "evidence", "'f$'", "null", "null", "null"),
+    ("please dismiss finding f$ because customer @ said so", "dismiss", "'f$'", "'customer @ said so'", "null", "null"),
+    ("Approve finding f$.", "approve", "'f$'", "null", "null", "null"),
+    ("trace src/order/o$.ts to src/customer/c@.ts", "trace", "null", "null", "['src/order/o$.ts', 'src/customer/c@.ts']", "null"),
+    ("is src/order/o$.ts reachable", "trace", "null", "null", "['src/order/o$.ts']", "null"),
+    ("find code related to order $", "find", "null", "null", "null", "'order $'"),
+    ("Run the tests", "test", "null", "null", "null", "null"),
+    ("why did the confidence drop", "score-delta", "null", "null", "null", "null"),
+    ("which files are untested", "test-gaps", "null", "null", "null", "null"),
+    ("order $ was late", "unknown", "null", "null", "null", "null"),
+)
+
+
+def _requests_sql() -> str:
+    put = lambda text: "replace(replace(" + text + ", '$', o_orderkey::varchar), '@', o_custkey::varchar)"
+    one = lambda v: "null::varchar" if v == "null" else put(v)
+    many = lambda v: "null::varchar[]" if v == "null" else "[" + ", ".join(put(x.strip()) for x in v[1:-1].split(",")) + "]"
+    rows = [f"select o_orderkey, '{op}' as operation, {one(a)} as finding, {one(b)} as reason, {many(c)} as files, {one(d)} as query from orders where o_orderkey % {len(REQUESTS)} = {k}" for k, (_, op, a, b, c, d) in enumerate(REQUESTS)]
+    return " union all ".join(rows)
+
+
+@query("p13_requests", _requests_sql())
+def p13_requests(t):
+    """A request about every order, with what it names."""
+    said = F.element_at(F.array(*[F.lit(r[0]) for r in REQUESTS]), (F.col("o_orderkey") % len(REQUESTS) + 1).cast("int"))
+    text = F.replace(F.replace(said, F.lit("$"), F.col("o_orderkey").cast("string")), F.lit("@"), F.col("o_custkey").cast("string"))
+    return requests.request_of(t("orders").withColumn("text", text)).select("o_orderkey", "request.operation", "request.finding", "request.reason", "request.files", "request.query")
 
 
 @query("r1_first_existing", """with c as (select l_orderkey, l_linenumber, l_partkey, unnest([l_partkey + 100000, l_partkey * 2, l_partkey]) cand, unnest([0, 1, 2]) pos from lineitem)
