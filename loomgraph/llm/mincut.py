@@ -12,9 +12,13 @@ label (SAMPLE pages at most); without labels of both kinds FALLBACK is used.
 Edges are DOM proximity: between a block and the nearest element that says
 something, between such an element and the next one above it, between
 neighbouring blocks, and more so if they have one parent. What an element says
-reaches its text only through those edges, and a page without any such element is
-labelled by its texts and their neighbourhood: a short line amid an article stays,
-a long one amid a menu goes. The minimum cut is the labelling of least cost.
+reaches its text only through those edges. The edge is as strong as the word is
+telling: tags, roles and plain words of a class outweigh a single text, while
+ambiguous words, words of an id on a heading or section (a slug), and a class
+that names both an article and something else have a weak edge, so that there
+the texts decide and not the name. A page without any such element is labelled by
+its texts and their neighbourhood: a short line amid an article stays, a long one
+amid a menu goes. The minimum cut is the labelling of least cost.
 
 Two exact reductions come first: a node whose own cost outweighs all its edges is
 labelled and folded into its neighbours, and a node one of whose edges outweighs
@@ -65,11 +69,17 @@ AWAY_WORDS = frozenset(
     " footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social"
     " related recommended comment comments reply replies respond disqus widget pagination pager copyright legal disclaimer search".split()
 )
+#: words of AWAY_WORDS that articles use of their own parts as well
+VAGUE_WORDS = frozenset("search legal copyright disclaimer header reply replies respond share alert".split())
+#: elements whose ids are slugs of what they are about
+SLUGS = frozenset("section h1 h2 h3 h4 h5 h6 p li dt dd figure".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 #: costs in nats: of elements that hold boilerplate, of article elements, of words for articles, and of what is outside of articles
 W_AWAY, W_ARTICLE, W_MAIN, W_OUTSIDE = -14.0, 16.0, 8.0, -5.0
+#: cost of an element whose words are vague, or name an article and something else; the edge to its texts
+W_VAGUE, W_BOTH, E_VAGUE = -3.0, 1.0, 2.0
 #: a block's own cost is at most this; edges: to its element, of an element to the next above, of neighbours, of neighbours with one parent
 MOST, E_OWN, E_ABOVE, E_NEXT, E_PARENT = 4.0, 16.0, 6.0, 1.0, 1.5
 SAMPLE, FEATURES = 1024, 5
@@ -88,29 +98,39 @@ class _Block:
         return math.log1p(n / 8), self.linked / n, float(self.text[-1] in ".!?…»”\"'"), float(self.tag[0] == "h" and self.tag[1:].isdigit()), float(self.tag in ("li", "dt", "dd", "td", "th"))
 
 
-def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its name or words, or the article."""
-    away, main = tag in AWAY_TAGS, tag in MAIN_TAGS
+def _kind(tag: str, attrs: str) -> tuple[bool, bool, float]:
+    """Whether an element is boilerplate by its name or words, or the article;
+    else what its vague words are worth."""
+    away, main, vague = tag in AWAY_TAGS, tag in MAIN_TAGS, 0.0
     if attrs and not attrs.isspace() and tag not in INLINE:
-        words: set[str] = set()
+        told: set[str] = set()
+        slug: set[str] = set()
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                words.update(w.lower() for w in _WORDS.findall(value))
+                (slug if name == "id" and tag in SLUGS else told).update(w.lower() for w in _WORDS.findall(value))
             elif name == "role":
                 away, main = away or value.lower() in AWAY_ROLES, main or value.lower() == "main"
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                 away = True
-        away = away or not words.isdisjoint(AWAY_WORDS) and not (tag in ("html", "body"))
-        main = main or not words.isdisjoint(MAIN_WORDS) and tag in ("div", "section", "td")
-    return away, main
+        if tag not in ("html", "body"):
+            bad, good = told & AWAY_WORDS, not told.isdisjoint(MAIN_WORDS) and tag in ("div", "section", "td")
+            if bad and good:
+                vague = W_BOTH
+            elif bad - VAGUE_WORDS:
+                away = True
+            elif bad or slug & AWAY_WORDS:
+                vague = W_VAGUE
+            else:
+                main = main or good
+    return away, main, vague
 
 
-def blocks(page: str) -> tuple[list[_Block], list[tuple[float, int]]]:
+def blocks(page: str) -> tuple[list[_Block], list[tuple[float, int, bool]]]:
     """Blocks of visible text in page order, and the elements that say something:
-    (cost, the next such element above or -1)."""
+    (cost, the next such element above or -1, whether it is vague)."""
     out: list[_Block] = []
-    elements: list[tuple[float, int]] = []
+    elements: list[tuple[float, int, bool]] = []
     inside: list[bool] = []  # articles within boilerplate
     text: list[str] = []
     linked, in_link, at, serial = 0, 0, 0, 0
@@ -201,38 +221,38 @@ def blocks(page: str) -> tuple[list[_Block], list[tuple[float, int]]]:
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead") or stack[k][0] == "tr" and tag != "tr":
                     break
-        away, main = _kind(tag, m[3])
+        away, main, vague = _kind(tag, m[3])
         serial += 1
         _, within, above, _ = stack[-1]
         article = tag in MAIN_TAGS
         #: words for an article say nothing below boilerplate
         cost = W_AWAY if away else W_ARTICLE if article else W_MAIN * (main and not within)
-        if cost:
-            elements.append((cost, above))
+        if cost or vague:
+            elements.append((cost or vague, above, not cost))
             inside.append(within and not away)
             above = len(elements) - 1
         stack.append((tag, within or away, above, serial))
     if at < len(page):
         text.append(page[at:])
     flush()
-    if any(inside) and any(cost == W_ARTICLE and not x for (cost, _), x in zip(elements, inside, strict=True)):
+    if any(inside) and any(cost == W_ARTICLE and not x for (cost, _, _), x in zip(elements, inside, strict=True)):
         #: beside an article that stands free, those within boilerplate are parts of it (comments)
         to = []
-        for k, (_, above) in enumerate(elements):
+        for k, (_, above, _) in enumerate(elements):
             to.append((to[above] if above >= 0 else -1) if inside[k] else k)
         for b in out:
             b.element = to[b.element] if b.element >= 0 else -1
-        elements = [(cost, to[above] if above >= 0 else -1) for cost, above in elements]
+        elements = [(cost, to[above] if above >= 0 else -1, vague) for cost, above, vague in elements]
     return out, elements
 
 
-def network(found: list[_Block], elements: list[tuple[float, int]], weights: tuple[float, ...] = FALLBACK) -> tuple[list[float], list[tuple[int, int, float]]]:
+def network(found: list[_Block], elements: list[tuple[float, int, bool]], weights: tuple[float, ...] = FALLBACK) -> tuple[list[float], list[tuple[int, int, float]]]:
     """Costs of calling nodes boilerplate less those of calling them content, and
     edges: the blocks, then the elements, then what is outside of articles."""
     n, outside = len(found), len(found) + len(elements)
-    some = any(cost > 0 for cost, _ in elements)
+    some = any(cost > 0 and not vague for cost, _, vague in elements)
     own = [max(-MOST, min(MOST, weights[0] + sum(w * x for w, x in zip(weights[1:], b.features(), strict=True)))) for b in found]
-    unary = [*own, *(cost for cost, _ in elements), *([W_OUTSIDE] if some else [])]
+    unary = [*own, *(cost for cost, _, _ in elements), *([W_OUTSIDE] if some else [])]
     edges: list[tuple[int, int, float]] = []
     chars: dict[int, int] = {}
     last: dict[int, int] = {}
@@ -240,7 +260,9 @@ def network(found: list[_Block], elements: list[tuple[float, int]], weights: tup
     for home, b in zip(homes, found, strict=True):
         chars[home] = chars.get(home, 0) + len(b.text)
     for k, (home, b) in enumerate(zip(homes, found, strict=True)):
-        if home >= 0:
+        if b.element >= 0 and elements[b.element][2]:
+            edges.append((k, home, E_VAGUE))
+        elif home >= 0:
             #: the texts of an element weigh no more together than one of them alone
             unary[k] *= len(b.text) / chars[home]
             edges.append((k, home, E_OWN))
@@ -250,19 +272,19 @@ def network(found: list[_Block], elements: list[tuple[float, int]], weights: tup
             edges.append((last[b.parent], k, E_PARENT))
         last[b.parent] = k
     #: what an element holds pulls at it with E_ABOVE together, however many they are
-    below = Counter(above for _, above in elements)
-    for k, (_, above) in enumerate(elements):
+    below = Counter(above for _, above, _ in elements)
+    for k, (_, above, _) in enumerate(elements):
         if above >= 0 or some:
             edges.append((n + k, n + above if above >= 0 else outside, E_ABOVE / below[above]))
     return unary, edges
 
 
-def labelled(found: list[_Block], elements: list[tuple[float, int]]) -> np.ndarray:
-    """Sums over the blocks that an element labels: for boilerplate and for
+def labelled(found: list[_Block], elements: list[tuple[float, int, bool]]) -> np.ndarray:
+    """Sums over the blocks that an element labels, vague ones aside: for boilerplate and for
     content, the count, the features and their products."""
     out = np.zeros((2, 1 + FEATURES + FEATURES * FEATURES))
     for b in found:
-        if b.element >= 0:
+        if b.element >= 0 and not elements[b.element][2]:
             x = np.array(b.features())
             out[int(elements[b.element][0] > 0)] += np.concatenate([[1.0], x, np.outer(x, x).ravel()])
     return out

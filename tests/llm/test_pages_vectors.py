@@ -239,3 +239,51 @@ def test_shared_ids_of_different_texts_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got[0][1] in (c, c + " end") and got[1:] == sorted([(1, a), (1, b), (5, ""), (5, ""), (6, "")])
+
+
+def lying_page(rng):
+    """A page whose names say little or the wrong thing, and its article."""
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randrange(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    body = []
+    for _ in range(rng.randrange(4, 9)):
+        body.append(line(rng.randrange(25, 60)))
+        if rng.random() < 0.5:
+            body.append(line(2))
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    holder = rng.choice(['<section id="search">{}</section>', '<section id="login"><div>{}</div></section>', '<div class="content alert">{}</div>', '<div class="post share">{}</div>', '<div class="legal">{}</div>', "<div>{}</div>"])
+    links = lambda n: "".join(f'<li><a href="/{k}">{word()}</a></li>' for k in range(n))
+    around = rng.choice(["<article>{}</article>", "<div class=wrap>{}</div>"])
+    page = f"<body><ul>{links(6)}</ul>{around.format(holder.format(inner))}<div class=\"notice\">{line(9)}</div><ul>{links(4)}</ul></body>"
+    return page, "\n".join(body)
+
+
+def overlap(a, b):
+    """Share of characters, by lines, that two texts have in common."""
+    a, b = a.split("\n"), b.split("\n")
+    common = sum(len(x) for x in set(a) & set(b))
+    return 2 * common / max(1, sum(map(len, set(a))) + sum(map(len, set(b))))
+
+
+def test_texts_overrule_names_that_lie():
+    rng = random.Random(6)
+    pages = [lying_page(rng) for _ in range(80)]
+    scores = [overlap(mincut.main_text(page), text) for page, text in pages]
+    assert sum(scores) / len(scores) > 0.95
+
+
+def test_edges_carry_short_lines_of_lying_sections(monkeypatch):
+    rng = random.Random(7)
+    pages = [lying_page(rng) for _ in range(40)]
+    kept = lambda: [line for page, text in pages for line in text.split("\n") if len(line) < 30 and line in mincut.main_text(page).split("\n")]
+    with_edges = kept()
+    for name in ("E_NEXT", "E_PARENT", "E_VAGUE", "E_OWN", "E_ABOVE"):
+        monkeypatch.setattr(mincut, name, 0.0)
+    assert len(with_edges) > 40 and len(kept()) < len(with_edges) / 2
+
+
+def test_words_of_parts_of_an_article():
+    long = "<p>" + "The engine walks an index of terms and ranks documents by their scores, quickly. " * 2 + "</p>"
+    assert mincut.main_text(f'<article>{long}<section id="search">{long}{long}</section></article>').count("\n") == 2
+    assert mincut.main_text(f'<div class="search">Search</div><div class="content">{long}</div><div class="comments">{long}{long}</div>').count("\n") == 0
+    assert "cookies" not in mincut.main_text(f'<article>{long}<div class="notice">This site uses cookies for you and for us all.</div>{long}</article>')
