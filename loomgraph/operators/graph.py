@@ -5,18 +5,23 @@ written once; every round is written to the shared folder, so lineage stays flat
 and lost executors cost a round. Loops go on until nothing is left to do, however
 long a path is; a bound, where one is given, raises instead of returning a part.
 Graphs of at most SMALL edges are solved by one task, with the same result.
+
+Larger ones are compressed first: a chain of nodes with one edge in and one out
+becomes a single edge, found by pointers that double (:func:`compress`), so a path
+of a million steps costs twenty rounds and not a million.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard
 
 SMALL = 1 << 18
 
@@ -107,45 +112,128 @@ def strong_components(rows: list[tuple]) -> Iterator[tuple]:
                 yield node, low
 
 
+@dataclass
+class Compressed:
+    """A graph whose chains are edges, and the chains.
+
+    edges: src, dst, weight (steps), first (a chain's first node, null for an
+    edge); chains: node, first, off (steps from first), prev, head (the node
+    before the chain), tail (the node after it); rings: node, low (rings apart
+    from all else, by their smallest node).
+    """
+
+    edges: DataFrame
+    chains: DataFrame
+    rings: DataFrame
+
+
+def compress(edges: DataFrame, keep: DataFrame | None = None) -> Compressed:
+    """Chains of (src, dst) edges as single edges. Nodes of ``keep`` (node) end
+    chains. edges: distinct, without self edges."""
+    come = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("prev")).where("n = 1")
+    go = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("m"), F.min("dst").alias("after")).where("m = 1")
+    inner = come.join(go, "node").select("node", "prev", "after")
+    if keep is not None:
+        inner = inner.join(keep.select("node"), "node", "left_anti")
+    inner = cut(inner, "chains")
+    known = inner.select(F.col("node").alias("prev"), F.lit(True).alias("inside"))
+    begun = F.col("inside").isNull()
+    state = inner.join(known, "prev", "left").select("node", F.when(~begun, F.col("prev")).alias("ptr"), F.when(begun, F.col("node")).alias("first"), F.when(begun, 0).otherwise(1).cast("long").alias("off"), F.least("node", "prev").alias("low"))
+    state = cut(state, "chains")
+    rounds = inner.count().bit_length() + 1
+    for _ in range(rounds):
+        open_ones = state.where("ptr is not null")
+        if open_ones.isEmpty():
+            break
+        ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("first").alias("first2"), F.col("off").alias("off2"), F.col("low").alias("low2"))
+        moved = open_ones.join(ahead, "ptr").select("node", F.col("ptr2").alias("ptr"), F.col("first2").alias("first"), (F.col("off") + F.col("off2")).alias("off"), F.least("low", "low2").alias("low"))
+        before, state = state, cut(state.where("ptr is null").unionByName(moved), "chains")
+        discard(before)
+    done = state.where("ptr is null").select("node", "first", "off").join(inner, "node")
+    ends = done.join(known.select(F.col("prev").alias("after"), "inside"), "after", "left").where("inside is null").select("first", F.col("after").alias("tail"), (F.col("off") + 2).alias("weight"))
+    heads = done.where("off = 0").select("first", F.col("prev").alias("head"))
+    spans = cut(heads.join(ends, "first"), "spans")
+    chains = cut(done.select("node", "first", "off", "prev").join(spans.select("first", "head", "tail"), "first"), "chains")
+    rings = cut(state.where("ptr is not null").select("node", "low"), "rings")
+    #: what remains of the edges has no inner node at either end
+    within = inner.select("node")
+    direct = edges.join(within.withColumnRenamed("node", "src"), "src", "left_anti").join(within.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    kind = edges.schema["src"].dataType
+    short = direct.select("src", "dst", F.lit(1).cast("long").alias("weight"), F.lit(None).cast(kind).alias("first"))
+    whole = cut(short.unionByName(spans.select(F.col("head").alias("src"), F.col("tail").alias("dst"), "weight", "first")), "compressed")
+    for used in (inner, state, spans):
+        discard(used)
+    return Compressed(whole, chains, rings)
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose ends have edges in and out: others are in no cycle."""
+    return edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+def _core_components(left: DataFrame) -> DataFrame:
+    """(node, start) of some of the components of a graph that neither trimming
+    nor compressing makes smaller: every node takes the smallest label that
+    reaches it, and the nodes that reach their label's node inside the label's
+    set are one component."""
+    label = cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("label", F.col("node")), "scc")
+    moving = True
+    while moving:
+        low = left.join(label, left.src == label.node).groupBy("dst").agg(F.min("label").alias("low"))
+        after = label.join(low, label.node == low.dst, "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"))
+        #: a label's own label is one that reaches it, so that it reaches all of them as well
+        jump = after.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        after = after.join(jump, "label").select("node", F.least("label", "next").alias("label"))
+        after = cut(after.join(label.select("node", F.col("label").alias("was")), "node").select("node", "label", (F.col("label") < F.col("was")).alias("moved")), "scc")
+        discard(label)
+        moving, label = not after.where("moved").isEmpty(), after.drop("moved")
+    own = left.join(label.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+    back = reach(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), label.where("node = label").select(F.col("label").alias("start")))
+    return cut(back.join(label.withColumnRenamed("label", "start"), ["start", "node"]).select("node", "start"), "scc")
+
+
 def cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(cycle, members): strongly connected sets of two or more nodes, and self
     loops; cycle is the smallest member.
 
-    Trimming drops nodes without edges in and out until at most ``small`` edges
-    are left, which one task solves. Where more stay, every node takes the
-    smallest label that reaches it, the nodes that reach their label's node
-    inside the label's set are one component, and trimming begins again.
+    Until at most ``small`` edges are left, which one task solves, the graph is
+    trimmed and compressed; what can't be made smaller gives up components. A
+    chain belongs to a component that holds both its ends.
     """
     kind = edges.schema["src"].dataType.simpleString()
     all_edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "scc")
     loops = all_edges.where("src = dst").select(F.col("src").alias("node")).distinct()
     left = all_edges.where("src <> dst")
-    found = [loops.select("node", F.col("node").alias("start"))]
+    found, levels = [], []
     n = left.count()
     while n > small:
-        before = n
-        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc")
-        n = left.count()
-        if n < before or n <= small:
-            continue
-        label = cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("label", F.col("node")), "scc")
-        moving = True
-        while moving:
-            low = left.join(label, left.src == label.node).groupBy("dst").agg(F.min("label").alias("low"))
-            after = cut(label.join(low, label.node == low.dst, "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")), "scc")
-            moving, label = not after.where("moved").isEmpty(), after.drop("moved")
-        own = left.join(label.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        back = reach(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), label.where("node = label").select(F.col("label").alias("start")))
-        part = cut(back.join(label.withColumnRenamed("label", "start"), ["start", "node"]).select("node", "start"), "scc")
-        found.append(part)
-        gone = part.select("node")
-        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
+        slim = cut(_trimmed(left), "scc")
+        packed = compress(slim)
+        if not packed.chains.isEmpty() or not packed.rings.isEmpty():
+            found.append(packed.rings.select("node", F.col("low").alias("start")))
+            levels.append(packed)
+            left = cut(packed.edges.where("src <> dst").select("src", "dst").distinct(), "scc")
+        elif slim.count() < n:
+            left = slim
+        else:
+            part = _core_components(slim)
+            found.append(part)
+            gone = part.select("node")
+            left = cut(slim.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
         n = left.count()
     found.append(_in_one_task(left, strong_components, f"node {kind}, start {kind}"))
     both = found[0]
     for part in found[1:]:
         both = both.unionByName(part)
-    sets = both.groupBy("start").agg(F.array_sort(F.collect_set("node")).alias("members"))
+    both = cut(both, "scc-labels")
+    for packed in reversed(levels):
+        #: a chain from a node to itself makes a component of a node that has none yet
+        alone = packed.edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(both, "node", "left_anti").withColumn("start", F.col("node"))
+        both = cut(both.unionByName(alone), "scc-labels")
+        end = lambda name: both.select(F.col("node").alias(name), F.col("start").alias(f"{name}_start"))
+        inside = packed.chains.join(end("head"), "head").join(end("tail"), "tail").where("head_start = tail_start").select("node", F.col("head_start").alias("start"))
+        both = cut(both.unionByName(inside), "scc-labels")
+    sets = both.unionByName(loops.select("node", F.col("node").alias("start"))).groupBy("start").agg(F.array_sort(F.collect_set("node")).alias("members"))
     grouped = cut(sets, "scc-sets")
     inside = grouped.where("size(members) > 1").select(F.explode("members").alias("start"))
     real = grouped.where("size(members) > 1").unionByName(grouped.where("size(members) = 1").join(loops.withColumnRenamed("node", "start"), "start", "left_semi").join(inside, "start", "left_anti"))
@@ -175,36 +263,79 @@ def chain_of(rows: list[tuple], source, target) -> Iterator[tuple]:
         yield k, a, b, via
 
 
+def _distances(edges: DataFrame, source, target, kind: str) -> DataFrame:
+    """(node, depth) of the nodes that weighted edges reach from source, no
+    farther than target."""
+    spark = edges.sparkSession
+    seen = cut(spark.createDataFrame([(source, 0)], f"node {kind}, depth long"), "path")
+    frontier, parts, best = seen, 1, None
+    while True:
+        near = frontier.join(edges, frontier.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("weight")).alias("depth"))
+        if best is not None:
+            near = near.where(F.col("depth") <= best)
+        known = seen.groupBy("node").agg(F.min("depth").alias("was"))
+        frontier = cut(near.join(known, "node", "left").where("was is null or depth < was").select("node", "depth"), "path")
+        if frontier.isEmpty():
+            return seen.groupBy("node").agg(F.min("depth").alias("depth"))
+        hit = frontier.where(F.col("node") == F.lit(target)).first()
+        best = hit.depth if hit else best
+        seen, parts = seen.unionByName(frontier), parts + 1
+        if parts > 8:
+            seen, parts = cut(seen.groupBy("node").agg(F.min("depth").alias("depth")), "path-seen"), 1
+
+
+def _line_of(parents: DataFrame, target) -> DataFrame:
+    """(node, parent, ...) rows on the line from target to the root: tables of
+    2^k-th ancestors, then all sums of powers of two."""
+    jumps = [cut(parents.select("node", F.col("parent").alias("up")), "jump")]
+    while True:
+        last = jumps[-1]
+        longer = cut(last.join(last.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")), "jump")
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+    line = parents.where(F.col("node") == F.lit(target)).select("node")
+    for jump in reversed(jumps):
+        line = cut(line.unionByName(line.join(jump, "node").select(F.col("up").alias("node"))), "line")
+    out = cut(parents.join(line.distinct(), "node", "left_semi"), "line")
+    for jump in jumps:
+        discard(jump)
+    return out
+
+
 def shortest_path(edges: DataFrame, source, target, small: int = SMALL) -> DataFrame:
     """(step, src, dst, via) of a shortest chain; no rows if there is none.
 
     edges: src, dst, via. Self edges are dropped; among equals the smallest
-    (src, via) comes first, so the chain is defined.
+    (src, via) comes first, so the chain is defined. Beyond ``small`` edges
+    chains are compressed, and the chain is read by pointers that double.
     """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
+    schema = f"step int, src {kind}, dst {kind}, via string"
     steps = cut(edges.select("src", "dst", "via").where("src <> dst").distinct(), "path-edges")
     if steps.count() <= small:
-        return _in_one_task(steps, lambda rows: chain_of(rows, source, target), f"step int, src {kind}, dst {kind}, via string")
-    seen = spark.createDataFrame([(source, None, None, 0)], f"node {kind}, src {kind}, via string, depth int")
-    frontier, hit = seen, source == target
-    for depth in count(1):
-        if hit:
-            break
-        near = frontier.select(F.col("node").alias("src")).join(steps, "src").groupBy("dst").agg(F.min(F.struct("src", "via")).alias("by"))
-        frontier = cut(near.select(F.col("dst").alias("node"), "by.src", "by.via", F.lit(depth).alias("depth")).join(seen.select("node"), "node", "left_anti"), "path")
-        if frontier.isEmpty():
-            break
-        hit = not frontier.where(F.col("node") == F.lit(target)).isEmpty()
-        seen = seen.unionByName(frontier)
-        if depth % 8 == 0:
-            seen = cut(seen, "path-seen")
-    rows, at = [], target
-    while hit and at != source:  # the chain itself: as many rows as it has steps
-        r = seen.where(F.col("node") == F.lit(at)).first()
-        rows.append((r.depth, r.src, at, r.via))
-        at = r.src
-    return spark.createDataFrame(sorted(rows), f"step int, src {kind}, dst {kind}, via string")
+        return _in_one_task(steps, lambda rows: chain_of(rows, source, target), schema)
+    if source == target:
+        return spark.createDataFrame([], schema)
+    single = cut(steps.groupBy("src", "dst").agg(F.min("via").alias("via")), "path-edges")
+    ends = spark.createDataFrame([(source,), (target,)], f"node {kind}")
+    packed = compress(single.select("src", "dst"), ends)
+    depth = cut(_distances(packed.edges, source, target, kind), "path-depths")
+    if depth.where(F.col("node") == F.lit(target)).isEmpty():
+        return spark.createDataFrame([], schema)
+    inner = packed.chains.join(depth.withColumnRenamed("node", "head"), "head").select("node", (F.col("depth") + F.col("off") + 1).alias("depth"), "head", "first")
+    at = depth.select("node", "depth", F.lit(None).cast(kind).alias("head"), F.lit(None).cast(kind).alias("first")).unionByName(inner)
+    #: the step into each end of chains: of the smallest of those that come in time
+    late = single.join(at.select(F.col("node").alias("src"), F.col("depth").alias("src_depth"), F.col("head"), F.col("first")), "src").join(depth.withColumnRenamed("node", "dst"), "dst")
+    best = late.where("src_depth + 1 = depth").groupBy("dst", "depth").agg(F.min(F.struct("src", "via", "head", "first")).alias("by"))
+    parents = cut(best.select(F.col("dst").alias("node"), F.coalesce("by.head", "by.src").alias("parent"), F.col("by.src").alias("src"), F.col("by.via").alias("via"), F.col("by.first").alias("first"), "depth"), "parents")
+    line = _line_of(parents, target)
+    last = line.select(F.col("depth").cast("int").alias("step"), "src", F.col("node").alias("dst"), "via")
+    used = line.where("first is not null").select("first", F.col("depth").alias("end"))
+    chain = packed.chains.join(used, "first").join(depth.withColumnRenamed("node", "head"), "head")
+    within = chain.select((F.col("depth") + F.col("off") + 1).cast("int").alias("step"), F.col("prev").alias("src"), F.col("node").alias("dst"))
+    return last.unionByName(within.join(single, ["src", "dst"]).select("step", "src", "dst", "via"))
 
 
 def trace_path(edges: DataFrame, source, target) -> DataFrame:

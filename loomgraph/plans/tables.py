@@ -114,6 +114,23 @@ def g4_long(t):
     return graph.shortest_path(ring_edges(t).where("src < dst").withColumn("via", F.lit("next")), *ends)
 
 
+#: the same by rounds alone, as for graphs beyond one task
+@query("g3_cycles_rounds", ORACLES["g3_cycles"])
+def g3_rounds(t):
+    return graph.cycles(transitions(t), small=0)
+
+
+@query("g3_ring_rounds", ORACLES["g3_ring"])
+def g3_ring_rounds(t):
+    return graph.cycles(ring_edges(t), small=0)
+
+
+@query("g4_long_chain_rounds", ORACLES["g4_long_chain"])
+def g4_long_rounds(t):
+    ends = t("customer").agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    return graph.shortest_path(ring_edges(t).where("src < dst").withColumn("via", F.lit("next")), *ends, small=0)
+
+
 @query("g5_trace_files", """with wf as (select l_partkey file, list_sort(list(distinct l_suppkey % 5)) workflows from lineitem where l_quantity > 49 group by 1),
 im as (select l_partkey file, list_sort(list(distinct l_suppkey)) importers from lineitem where l_quantity > 48 group by 1)
 select p_partkey as file, workflows is not null as in_workflow, coalesce(workflows, []) as workflows, coalesce(importers, []) as importers,

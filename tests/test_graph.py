@@ -50,6 +50,46 @@ def test_the_smallest_of_equal_chains(spark, small):
     assert [r.direction for r in graph.trace_path(df, "d", "a").collect()] == ["reverse"] * 2
 
 
+def test_long_rings_with_tails_by_rounds(spark, monkeypatch):
+    """A ring of 3000 with chords' worth of side chains, rings beside it, and paths in and out."""
+    n = 3000
+    ring = [(k, (k + 1) % n) for k in range(n)]
+    side = [(10, n + 1), *((n + k, n + k + 1) for k in range(1, 200)), (n + 200, 20)]
+    out = [(500, 2 * n), *((2 * n + k, 2 * n + k + 1) for k in range(300))]
+    own = [(3 * n + k, 3 * n + (k + 1) % 77) for k in range(77)]
+    df = spark.createDataFrame(ring + side + out + own, "src long, dst long")
+    cuts = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="cut": (cuts.append(name), real(df, name))[1])
+    got = found(graph.cycles(df, 0))
+    assert got == {frozenset(range(n)) | frozenset(range(n + 1, n + 201)), frozenset(range(3 * n, 3 * n + 77))} and len(cuts) < 60
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chains_by_rounds_equal_those_of_one_task(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(40), rng.randrange(40), rng.choice("abc")) for _ in range(50)]
+    at = 100
+    for _ in range(8):  # long chains between nodes of the graph
+        long, a, b = rng.randrange(1, 12), rng.randrange(40), rng.randrange(40)
+        edges += [(a, at, "x")] + [(at + k, at + k + 1, rng.choice("yz")) for k in range(long)] + [(at + long, b, "x")]
+        at += 100
+    df = spark.createDataFrame(edges, "src long, dst long, via string")
+    for source, target in [(edges[0][0], edges[40][1]), (edges[3][0], edges[-1][1]), (edges[5][0], 103)]:
+        rows = lambda small: [tuple(r) for r in graph.shortest_path(df, source, target, small).orderBy("step").collect()]
+        assert rows(0) == rows(graph.SMALL)
+
+
+def test_a_chain_of_many_steps_by_rounds(spark, monkeypatch):
+    n = 4000
+    edges = [(k, k + 1, "x") for k in range(n)] + [(k, n + 10 + k, "y") for k in range(0, n, 400)] + [(0, n + 5000, "z"), (n + 5000, 3, "z")]
+    cuts = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="cut": (cuts.append(name), real(df, name))[1])
+    got = [tuple(r) for r in graph.shortest_path(spark.createDataFrame(edges, "src long, dst long, via string"), 0, n, 0).orderBy("step").collect()]
+    assert got == [(1, 0, n + 5000, "z"), (2, n + 5000, 3, "z")] + [(k, k, k + 1, "x") for k in range(3, n)] and len(cuts) <= 60
+
+
 def test_a_bound_raises(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(12)], "src long, dst long")
     with pytest.raises(RuntimeError):
