@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..operators.extract import env_reads, extract, functions_of
 from ..operators.findings import duplicate_groups, hotspots, legacy_dependencies
+from ..operators.steps import StepLog
 from ..sources.project import routed
 from . import reports
 from .project import Project, analyze
@@ -204,3 +205,15 @@ case when o_orderstatus = 'F' and o_orderpriority = '1-URGENT' then ['app', 'los
 def k6(t):
     p = project_of(t)
     return hotspots(p.call_edges, p.workflow_files)
+
+
+@query("k15_steps", f"""{_TREE} select 'files' as step, count(*) as rows from files union all select 'nodes', count(*) from files
+union all select 'imports', 2 * (select count(*) from orders) + (select count(*) from cust) + (select count(*) from cust where seg in ('BUILDING', 'MACHINERY')) + (select count(*) from jobs where k % 2 = 1)
+union all select 'calls', (select count(*) from orders where o_orderstatus = 'F') + 3 * (select count(*) from orders) + (select count(*) from orders where o_orderpriority = '1-URGENT') + (select count(*) from cust)
+union all select 'entries', (select count(*) from entry) + (select count(*) from jobs where own) union all select 'workflows', count(*) from wf union all select 'credit', count(*) from files where credit <> 'test'""")
+def k15(t):
+    """Rows of every step of an analysis, as they passed."""
+    rows = tree(t)
+    log = StepLog(rows.sparkSession)
+    analyze(rows, DORMANT, steps=log)
+    return log.table().select("step", "rows")

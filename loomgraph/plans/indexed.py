@@ -1,10 +1,10 @@
-"""Queries over what is kept beside the tables: indexes and closures."""
+"""Queries over what is kept beside the tables: indexes, closures, automata."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import closure, graph, search
+from ..operators import closure, globs, graph, search
 from ..operators.index import SearchIndex
 from .tables import entity_edges, node, query
 
@@ -63,3 +63,14 @@ def g1_upkeep(t):
     next_nation = F.concat(F.lit("n:"), ((F.col("c_nationkey") + 1) % 25).cast("string")).alias("src")
     added = customer.where("c_acctbal < -500").select(next_nation, of[1]).unionByName(customer.where("c_acctbal > 9000").select(of[1].alias("src"), of[0].alias("dst")))
     return closure.maintain(graph.reach(edges, starts), edges, added, removed)
+
+
+@query("p1_many_globs", """with p as (select page_id, regexp_replace(url, '^https?://', '') as path from pages),
+g as (select c_custkey as glob_id, case c_custkey % 3 when 0 then '^(?:.*/)?en/'||c_custkey||'$' when 1 then '^[^/]*\\.example\\.com/[^/][^/]/'||c_custkey||'[^/]*$' else '^m\\.[^/]*/(?:.*/)?'||c_custkey||'(?:/.*)?$' end as rx from customer)
+select path as file, glob_id from p join g on regexp_matches(path, rx)""")
+def p1_many(t):
+    """A glob for every customer against the addresses of all pages."""
+    key = F.col("c_custkey").cast("string")
+    glob = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("**/en/"), key)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("*.example.com/??/"), key, F.lit("*"))).otherwise(F.concat(F.lit("m.*/**/"), key, F.lit("/**")))
+    paths = t("pages").select(F.regexp_replace("url", "^https?://", "").alias("file"))
+    return globs.match_globs(paths, t("customer").select(F.col("c_custkey").alias("glob_id"), glob.alias("glob")))
