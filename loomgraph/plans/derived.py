@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.extract import env_reads, extract, functions_of
-from ..operators.findings import duplicate_groups, hotspots, legacy_dependencies
+from ..operators.findings import architecture_rules, duplicate_groups, hotspots, legacy_dependencies
 from ..operators.steps import StepLog
 from ..sources.project import routed
 from . import reports
 from .project import Project, analyze
+from .stored import scratch
 from .tables import query
 
 DORMANT = [("src/nation/*", "intentional-dormant")]
@@ -217,3 +218,45 @@ def k15(t):
     log = StepLog(rows.sparkSession)
     analyze(rows, DORMANT, steps=log)
     return log.table().select("step", "rows")
+
+
+@query("t2_coverage", f"{_TREE} select credit as status, count(*) as n from files where credit <> 'test' and file in (select file from wf) group by 1")
+def t2_coverage(t):
+    return reports.coverage_summary(project_of(t))
+
+
+@query("t2_gaps", f"{_TREE} select file, credit as status from files where credit in ('untested', 'tested-nameonly') and file in (select file from wf)")
+def t2_gaps(t):
+    return reports.test_gaps(project_of(t)).select("file", "status")
+
+
+@query("d2_snapshot", f"""{_TREE} select 'orphans' as part, count(*) as n, min(file) as first from files where otherwise = 'orphan' and file not in (select file from wf)
+union all select 'workflows', count(distinct workflow), min(workflow) from wf
+union all select 'exports', (select count(*) from orders) + (select count(*) from cust) + (select count(*) from nation) + (select count(*) from jobs), (select min('jobs/s'||k||'.py') from jobs)""")
+def d2(t):
+    """A snapshot as it is after it was saved and read again."""
+    p = project_of(t)
+    path = scratch(p.files, "snapshot")
+    reports.save_snapshot(p, path)
+    found = reports.load_snapshot(p.files.sparkSession, path)
+    count = lambda part, key: found[part].agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.min(key).alias("first"))
+    return count("orphans", "file").unionByName(count("workflows", "workflow")).unionByName(count("exports", "file"))
+
+
+@query("m2_cycles", "select 'cycle' as rule, string_agg('src/customer/c'||c_custkey||'.ts', ' -> ' order by 'src/customer/c'||c_custkey||'.ts') as subject, 1.0::double as certainty from customer group by c_custkey // 4 having count(*) = 4")
+def m2_cycles(t):
+    """The cycle rule over the cycles of the tree's imports."""
+    none = t("customer").where("false")
+    empty = none.select(F.lit("w").alias("workflow"), F.lit(0).alias("n_files"), F.lit(1.0).alias("score"))
+    return architecture_rules(empty, none.select(F.lit("f").alias("file")), 10, 1.0, g3(t)).where("rule = 'cycle'").select("rule", "subject", "certainty")
+
+
+@query("k10_evidence", f"""{_TREE}, f as (select 'f'||o_custkey as id, 'src/order/o'||o_orderkey||'.ts' as file from orders union select 'f'||o_custkey, 'src/customer/c'||o_custkey||'.ts' from orders)
+select id, count(distinct file) as n_files, count(distinct workflow) as n_workflows, min(workflow) as first from f left join wf using (file) group by id""")
+def k10(t):
+    """A finding for every customer with orders, about its file and theirs."""
+    name = lambda pattern, key: _fill(pattern, k=F.col(key))
+    about = t("orders").groupBy("o_custkey").agg(F.collect_set(name("src/order/o$k.ts", "o_orderkey")).alias("files"))
+    findings = about.select(name("f$k", "o_custkey").alias("id"), F.array_append("files", name("src/customer/c$k.ts", "o_custkey")).alias("files"))
+    shown = reports.evidence(project_of(t), findings)
+    return shown.select("id", F.size("files").cast("long").alias("n_files"), F.size("workflows").cast("long").alias("n_workflows"), F.array_min("workflows").alias("first"))
