@@ -29,19 +29,20 @@ from pyspark.sql import DataFrame
 
 from .grouped import keep, map_arrow
 
-CACHE = 150_000
+#: pre-tokens of a generation that a process remembers; results don't depend on it
+CACHE = 400_000
 
 
 class _Pieces(dict):
     """Ids of pre-tokens, of two generations: a full one becomes the older one,
     whose entries come back when they are met again."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         ids = self.older.get(piece) or self.encode(piece.encode())
@@ -53,7 +54,7 @@ class _Pieces(dict):
 class ByteBpe:
     """Encoder and decoder for a rank file (base64 token, space, rank a line)."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache: int = CACHE):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         size = max(self.ranks.values()) + 1
@@ -62,7 +63,7 @@ class ByteBpe:
             self.tokens[rank] = token
         self.names = [str(k) for k in range(size)]
         self.split = regex.compile(pattern).findall
-        self.pieces = _Pieces(self.encode_piece)
+        self.pieces = _Pieces(self.encode_piece, cache)
         self._low, self._buckets = [0] * ((size >> 8) + 1), {}
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -143,9 +144,9 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def tokenizer(path: str, pattern: str) -> ByteBpe:
+def tokenizer(path: str, pattern: str, cache: int = CACHE) -> ByteBpe:
     """One instance a process, as long as its tasks encode."""
-    return keep(__name__, (path, pattern), lambda: ByteBpe(path, pattern))
+    return keep(__name__, (path, pattern, cache), lambda: ByteBpe(path, pattern, cache))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
@@ -162,11 +163,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> D
     return docs.select(*names).transform(map_arrow, run, schema)
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def token_digests(docs: DataFrame, path: str, pattern: str, cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path, pattern)
+        bpe = tokenizer(path, pattern, cache)
         for b in batches:
             counts, ids_hex, decoded_hex = [], [], []
             for text in b.column(1):
