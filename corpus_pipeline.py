@@ -9,7 +9,7 @@ and returns a DataFrame, which is written and read again before the next one.
 4. mix: documents are taken, left or repeated by the mix of sources;
 5. tokens: token ids and what they decode to, as digests.
 
-All stages keep the columns of their input, whatever their names: columns that a
+All stages but the last keep the columns of their input, whatever their names: columns that a
 stage doesn't read are renamed on the way in and named again on the way out.
 """
 
@@ -29,6 +29,8 @@ from loomgraph.llm.suffixes import without_repeats
 from loomgraph.session import cut, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: fewer remembered pre-tokens than alone: executors still hold what the stages before left
+CACHE = 150_000
 
 
 def _sheltered(docs: DataFrame, reads: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -97,8 +99,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of every row's token ids; a null text is empty."""
-    return token_digests(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    """doc_id and digests of every row's token ids, no other columns; a null text
+    is empty."""
+    return token_digests(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, CACHE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
