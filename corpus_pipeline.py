@@ -9,8 +9,9 @@ and returns a DataFrame, which is written and read again before the next one.
 4. mix: documents are taken, left or repeated by the mix of sources;
 5. tokens: token ids and what they decode to, as digests.
 
-All stages but the last keep the columns of their input, whatever their names: columns that a
-stage doesn't read are renamed on the way in and named again on the way out.
+All stages but the last keep the columns of their input, whatever their names:
+columns that a stage doesn't read are renamed on the way in and named again on
+the way out.
 """
 
 from __future__ import annotations
