@@ -44,7 +44,7 @@ from ..session import cut
 from .grouped import map_arrow, map_groups
 from .text import U, chunks, prefix_hash, span_hash, strings
 
-LENGTH, K, SAMPLE, RUN_BYTES, BUCKET = 200, 32, 16, 24 << 20, 32 << 20
+LENGTH, K, SAMPLE, RUN_BYTES, BUCKET = 200, 32, 16, 40 << 20, 32 << 20
 _PLACE = U((1 << 28) - 1)
 _TOP = U(1 << 63)
 
