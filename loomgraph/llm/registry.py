@@ -102,6 +102,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LEAK_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLES: dict[str, str] = {
+    "op11_spelling": """
+        WITH RECURSIVE tab AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS r(i)
+                     UNION ALL SELECT i, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM tab WHERE k = 8),
+        runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{5,}')) AS w FROM documents),
+        one AS (SELECT d, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM runs GROUP BY 1, 2),
+        bytes AS (SELECT *, flatten(list_transform(string_split(d || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+                  ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)) AS b FROM one),
+        hashed AS (SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+        spelt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS w, n FROM hashed),
+        v AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(w) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+        places AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v),
+        masks AS (SELECT DISTINCT w, n, substr(w, 1, i - 1) || '*' || substr(w, i + 1) AS m FROM places),
+        dels AS (SELECT DISTINCT w, n, substr(w, 1, i - 1) || substr(w, i + 1) AS m FROM places),
+        pairs AS (SELECT a.w, b.w AS o, b.n FROM masks a JOIN masks b ON a.m = b.m AND a.w <> b.w
+                  UNION SELECT a.w, v.w, v.n FROM dels a JOIN v ON v.w = a.m UNION SELECT v.w, a.w, a.n FROM dels a JOIN v ON v.w = a.m),
+        near AS (SELECT w, count(*) AS n_near, first(o ORDER BY n DESC, o) AS best, max(n) AS best_n FROM pairs GROUP BY 1),
+        f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN near USING (w)),
+        walk AS (SELECT w, w AS tail, 0 AS k FROM f UNION ALL SELECT walk.w, f.form, k + 1 FROM walk JOIN f ON f.w = walk.tail WHERE f.form IS NOT NULL),
+        roots AS (SELECT w, arg_max(tail, k) AS root FROM walk GROUP BY 1)
+        SELECT w AS word, form, root, n, n_near, form_n FROM f JOIN roots USING (w)
+    """,
     "op12_decontamination": f"""
         WITH d AS (SELECT doc_id, coalesce({_LEAK_WORDS}, []) AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_LEAK_WORDS} AS w FROM benchmark),
