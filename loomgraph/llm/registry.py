@@ -102,6 +102,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LEAK_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLES: dict[str, str] = {
+    "op6_suffixes": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        parts AS (SELECT doc_id, p, substr(h, 2 * p + 1, 910) AS part FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 199 AS BIGINT), 256)) AS p FROM d)),
+        places AS (SELECT doc_id, p + j AS i, hash(substr(part, 2 * j + 1, 400)) AS w FROM (SELECT doc_id, p, part, unnest(range(0, CAST(least(256, length(part) // 2 - 199) AS BIGINT))) AS j FROM parts)),
+        twice AS (SELECT doc_id, i FROM places WHERE w IN (SELECT w FROM places GROUP BY w HAVING count(*) > 1)),
+        marked AS (SELECT doc_id, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS INT) AS new FROM twice),
+        runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marked),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM runs GROUP BY doc_id, r),
+        gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+        cut AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+    """,
+    "op9_crosspoly": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        usable AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+        walk AS (SELECT a, b FROM links UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a),
+        least AS (SELECT a, min(b) AS low FROM walk GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+        FROM v LEFT JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+    """,
+    "op10_jaccard": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.run = y.run AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 10 * c >= 8 * (p.n + q.n - c)),
+        walk AS (SELECT a, b FROM links UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a),
+        low AS (SELECT a, min(b) AS low FROM walk GROUP BY a), many AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+        SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN low ON low.a = doc_id LEFT JOIN many ON many.a = doc_id
+    """,
     "op11_spelling": """
         WITH RECURSIVE tab AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS r(i)
                      UNION ALL SELECT i, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
