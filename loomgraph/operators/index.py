@@ -25,6 +25,8 @@ from ..session import cut
 
 #: parts of the hits of one text that meet its askers apart
 PARTS = 64
+#: askers of one row, and rows of one task as far as there are parts
+BLOCK, ROWS = 4096, 1 << 20
 
 def _pieces(text: Column, least: int, most: Column) -> Column:
     """Distinct substrings of ``least`` to ``most`` characters."""
@@ -90,13 +92,29 @@ class SearchIndex:
         scored = by_term.unionByName(whole).groupBy("query_id", "key", "field", "place").agg(F.sum("points").alias("points")).groupBy("query_id", "key").agg(
             F.sum("points").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("place", "field"))), lambda x: x["field"]).alias("matches"))
         if k is None:
-            #: hits of one text are dealt out, so that no task has all of them and all its askers
-            hits = scored.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
-            copies = askers.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-            return hits.join(copies, ["query_id", "part"]).select(F.col("asker").alias("query_id"), "key", "score", "matches")
+            return _for_all(cut(scored, "hits"), askers)
         #: ranked within blocks of keys first, so that no task has all hits of a query
         deal = F.pmod(F.xxhash64("key"), F.lit(1024))
         for block in (deal, F.lit(0)):
             best = Window.partitionBy("query_id", block).orderBy(F.col("score").desc(), "key")
             scored = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         return scored.join(askers, "query_id").select(F.col("asker").alias("query_id"), "key", "score", "matches", "rank")
+
+
+def _for_all(hits: DataFrame, askers: DataFrame) -> DataFrame:
+    """The hits of each text for each of its askers. hits: query_id, key, score,
+    matches; askers: query_id (the text), asker.
+
+    Both are small beside the result, so the tasks go by its counted rows, not
+    by the bytes that are dealt. Hits are dealt out, so that no task has all of
+    a text and all its askers, and meet its askers in blocks.
+    """
+    asking = askers.groupBy("query_id").agg(F.count("*").alias("n"))
+    sizes = hits.groupBy("query_id").agg(F.count("*").alias("hits")).join(asking, "query_id").agg(F.sum("hits").alias("hits"), F.sum(F.col("hits") * F.col("n")).alias("rows")).first()
+    tasks = 1 + max((sizes["hits"] or 0) // ROWS, min(1023, (sizes["rows"] or 0) // ROWS))
+    block = F.pmod(F.xxhash64("asker"), F.ceil(F.col("n") / BLOCK))
+    blocks = askers.join(asking, "query_id").groupBy("query_id", block.alias("block")).agg(F.transform(F.collect_list(F.struct("asker")), lambda a: a["asker"]).alias("askers"))
+    copies = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).select("query_id", "part", "askers")
+    parted = hits.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    met = parted.repartition(tasks, "query_id", "part").join(copies.repartition(tasks, "query_id", "part").hint("merge"), ["query_id", "part"])
+    return met.select(F.explode("askers").alias("query_id"), "key", "score", "matches")

@@ -77,3 +77,13 @@ def test_equal_queries_are_searched_once(spark, monkeypatch):
     whole = {(r.query_id, r.key): r.score for r in index.search(queries, weights).collect()}
     assert len(whole) == 51 * 40 + 2 and len({v for (q, _), v in whole.items() if q < 50}) == 1
     assert whole[50, 40] == whole[51, 40] > 0
+
+
+def test_hits_of_all_askers_go_to_tasks_by_their_rows(spark):
+    """Few bytes are dealt, so Spark would make all rows in one task."""
+    df = spark.range(300).selectExpr("id as k", "'red bolt' as name")
+    asked = spark.range(4500).selectExpr("id as query_id", "'bolt' as query").union(spark.sql("select cast(null as bigint), 'bolt'"))
+    got = SearchIndex.build(df, "k", ("name",)).search(asked, {"name": 1})
+    found = got.withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks"), F.countDistinct("query_id", "key").alias("pairs"), F.count_if(F.isnull("query_id")).alias("nobody"), F.countDistinct("score").alias("scores")).first()
+    assert (found.n, found.pairs, found.nobody, found.scores) == (300 * 4501, 300 * 4500, 300, 1)
+    assert found.tasks > 1
